@@ -123,7 +123,7 @@ class Rolling:
         if self.n < k or not self.n:
             return np.zeros(0, np.uint64)
         s, e = self.starts[: self.n - k + 1], self.ends[k - 1 :]
-        return mix((self.sums[e] - self.sums[s]) * self.q[s] + np.uint64(k) * MULT)
+        return mix((self.sums[e] - self.sums[s]) * self.q[s] + np.uint64(k * int(MULT) & (1 << 64) - 1))
 
 
 def shingles(joined: bytes, k: int) -> np.ndarray:
