@@ -80,3 +80,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import write_and_read
 
     return write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
