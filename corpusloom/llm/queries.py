@@ -87,3 +87,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymize
 
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+
+
+@query("op3_html_extraction")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract
+
+    return extract(table(spark, sf_dir, "pages"))
