@@ -1,0 +1,153 @@
+"""Toxicity, language and page models by held-out accuracy and odd rows; pseudonyms by exact inverses."""
+
+import random
+import re
+import zlib
+
+import pytest
+from corpusloom.llm import html_extraction, language_id, page_corpus, pii, toxicity
+from corpusloom.llm.dom import blocks
+from pyspark.sql import functions as F
+
+SOUNDS = {"aa": ["ka", "lo", "mi", "ner"], "bb": ["ßu", "tch", "öm", "ei"], "cc": ["ça", "ou", "é", "que"]}
+
+
+def words(r, lang, n):
+    return " ".join("".join(r.choice(SOUNDS[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def test_language(spark):
+    r = random.Random(1)
+    rows = [(i, words(r, lang, r.randint(1, 60)), lang, "s") for i in range(600) for lang in [r.choice(list(SOUNDS))]]
+    rows += [(1000, None, "aa", None), (1001, "123 !!", "bb", None), (1002, "", None, None), (1003, "ka " * 5000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string")
+    got = {x["doc_id"]: x for x in language_id.identify(docs, language_id.learn(docs, 300)).collect()}
+    assert len(got) == len(rows)
+    held = [x for x in rows[:600] if zlib.crc32(str(x[0]).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] for i, *_ in held)
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang, _ in held) / len(held) > 0.95
+    assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "aa"]
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    empty = docs.limit(0)
+    assert language_id.identify(empty, language_id.learn(empty)).count() == 0
+    assert language_id.identify(docs, language_id.learn(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def toxic_tables(spark, n=500):
+    r = random.Random(2)
+    docs, labels = [], []
+    for i in range(n):
+        w, bad = words(r, r.choice(list(SOUNDS)), r.randint(20, 120)).split(), r.random() < 0.3
+        for _ in range(len(w) // 12 + 1 if bad else 0):
+            w.insert(r.randrange(len(w)), r.choice(["grob", "mean", "vile"]))
+        docs.append((i, " ".join(w), "x"))
+        labels.append((i, 1, int(bad)))
+    docs += [(9000, None, "x"), (9001, "", "x"), (None, "vile", "x")]
+    labels += [(9000, 1, 0), (None, 1, 1), (7, None, None)]
+    return spark.createDataFrame(docs, "doc_id bigint, text string, score string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+def test_toxicity(spark):
+    docs, labels = toxic_tables(spark)
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 503
+    truth = {x["doc_id"]: x["toxic"] for x in labels.where("doc_id < 500 and toxic is not null").collect()}
+    held = [x for x in got if x["doc_id"] in truth and x["held_out"]]
+    assert all(zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2 for x in held)
+    assert sum(x["predicted"] == truth[x["doc_id"]] for x in held) / len(held) > 0.95
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    assert toxicity.toxicity(docs, labels.limit(0)).count() == 503
+
+
+def test_toxicity_joined_equals_broadcast(spark):
+    docs, labels = toxic_tables(spark, 200)
+    model = toxicity.train(docs, labels)
+    assert model.count()
+    rows = lambda df: sorted((x["doc_id"] or -1, round(x["gain"], 6), x["n_words"]) for x in df.collect())
+    base = docs.select("doc_id", toxicity.held_out().alias("held_out"), "text")
+    assert rows(toxicity.gains(docs.select("doc_id", "text"), model)) == rows(toxicity.joined_gains(base, model))
+
+
+def test_held_out_labels_are_not_learned(spark):
+    docs, labels = toxic_tables(spark, 200)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (sorted((x["doc_id"] or -1, round(x["score"], 9)) for x in toxicity.toxicity(docs, y).collect()) for y in (labels, flipped))
+    assert a == b
+
+
+@pytest.fixture(scope="module")
+def field():
+    return html_extraction.field()
+
+
+def test_field_on_held_out_pages(field):
+    right = total = 0
+    for page, marks in page_corpus.labelled_pages(150, seed=77):
+        chain = blocks(page)
+        assert len(chain) == len(marks)
+        right += sum(a == b for a, b in zip(field.decode(chain), marks, strict=True))
+        total += len(marks)
+    assert right / total > 0.98
+
+
+def test_viterbi_is_the_best_path(field):
+    import itertools
+
+    chain = blocks(page_corpus.labelled_pages(1, seed=5)[0][0])[:9]
+    names = html_extraction.features(chain)
+    s = [field.weight[[field.index[x] for x in f if x in field.index]].sum(axis=0) for f in names]
+    value = lambda y: field.first[y[0]] + sum(s[t][y[t]] for t in range(len(y))) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+    assert max(itertools.product((0, 1), repeat=len(chain)), key=value) == tuple(map(int, field.decode(chain)))
+
+
+def test_extract(spark, field):
+    page = "<html><head><title>T</title><style>p{}</style><script>x='</p>'</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p><b>One\n two&nbsp;three.<br><p>Four &#233; five. It goes on here.</article><footer>&copy; x</footer>"
+    rows = [(1, "u", page, 0), (2, None, None, 0), (3, "u", "", 0), (None, "u", "<p>", 0), (5, "u", "</div>< <b", 0)]
+    got = {x["page_id"]: x for x in html_extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int"), field).collect()}
+    assert got[1]["text"] == "A & B\nOne two three.\nFour é five. It goes on here." and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == got[3]["text"] == got[None]["text"] == "" and got[2]["n_chars"] == 0
+    empty = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_extraction.extract(empty, field).count() == 0
+
+
+VALUES = ["4111111111111111", "4111 1111 1111 1111", "9807915762804490", "2024-02-29", "31.12.1999", "01/02/2003", "GB82WEST12345698765432", "DE89370400440532013000", "078-05-1120", "97.51.17.173", "+1 (017) 555-7713", "555-123-4567"]
+
+
+def test_pseudonyms_are_permutations(spark):
+    r = random.Random(4)
+    more = ["".join(r.choice("0123456789") for _ in range(16)) for _ in range(300)] + [f"{r.randint(1900, 2100)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" for _ in range(300)]
+    df = spark.createDataFrame([(x,) for x in {*VALUES, *more}], "x string").withColumn("y", pii.pseudonym(F.col("x")))
+    got = df.withColumn("z", pii.pseudonym(F.col("y"), undo=True)).collect()
+    assert all(x["x"] == x["z"] for x in got) and len({x["y"] for x in got}) == len(got)
+    assert all(re.sub(r"\d", "9", x["x"]) == re.sub(r"\d", "9", x["y"]) for x in got if "." not in x["x"] or len(x["x"]) == 10)
+
+    def off(n):  # what the Luhn sum is short of
+        d = [int(c) for c in re.sub(r"\D", "", n)]
+        return (sum(d[-1::-2]) + sum(sum(divmod(2 * c, 10)) for c in d[-2::-2])) % 10
+
+    assert all(off(x["x"]) == off(x["y"]) for x in got if re.fullmatch(r"[\d ]{13,19}", x["x"]))
+    valid = lambda n: int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+    assert all(valid(x["y"]) for x in got if x["x"][:2] in ("GB", "DE"))
+
+
+def test_pseudonymize(spark):
+    texts = [f"see {v}, or {v}! mail a.b@mail.example.com token = \"{'a1' * 20}\"" for v in VALUES]
+    rows = [(i, t, "k") for i, t in enumerate(texts)] + [(50, None, "k"), (51, "", "k"), (52, "30.02.1999 v1.2.3 12345", "k"), (53, "x" * 200_000 + " 4111111111111111", "k")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __values0 string")
+    got = {x["doc_id"]: x for x in pii.pseudonymize(docs, count="n").collect()}
+    assert got[0].asDict().keys() == {"doc_id", "text", "__values0", "n"}
+    for i, v in enumerate(VALUES):
+        found = re.fullmatch(r"see (.*), or (.*)! mail (\S+) token = \"([0-9a-f]{40})\"", got[i]["text"])
+        assert found and found[1] == found[2] != v and found[3] != "a.b@mail.example.com" and got[i]["n"] == 4
+    assert len({got[i]["text"][-45:] for i in range(len(VALUES))}) == 1  # one value, one pseudonym
+    assert (got[50]["text"], got[50]["n"], got[51]["text"], got[51]["n"]) == (None, 0, "", 0)
+    assert got[52]["text"] == rows[-2][1] and len(got[53]["text"]) == 200_017 and got[53]["n"] == 1
+    assert pii.pseudonymize(docs.limit(0)).count() == 0
+    plan = pii.pseudonymize(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_differ(spark):
+    df = spark.createDataFrame([(v,) for v in VALUES], "x string")
+    assert df.where(pii.pseudonym(F.col("x"), "one") == pii.pseudonym(F.col("x"), "two")).count() == 0
