@@ -1,9 +1,7 @@
-"""Helpers that the text operators share: shared storage, Arrow mapping, rolling hashes."""
+"""Helpers that the text operators share: Arrow mapping, rolling hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stash
+
+__all__ = ["arrow_map", "bounded", "mix", "shared_dir", "shingles", "stash", "table"]
+
 #: Rows per Arrow batch: 1,000 very long texts still fit a small Python worker.
 ARROW_ROWS = 1000
 
@@ -23,25 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the setting is absent (tests in one JVM) a local folder is made.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/loom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows stay below the limit, else df as it is."""
     return F.broadcast(df) if n_rows <= limit else df

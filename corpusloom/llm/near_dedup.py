@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import arrow_map, bounded, mix, shingles, stash
-from .components import components
 
 #: Registers in BANDS bands of ROWS. At a similarity of 0.8, 6 in 100,000 pairs share no band.
 BANDS, ROWS = 32, 6

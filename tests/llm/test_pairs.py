@@ -6,7 +6,7 @@ import random
 import re
 
 import numpy as np
-from corpusloom.llm import components, decontamination, fingerprints, near_dedup
+from corpusloom.llm import decontamination, fingerprints, near_dedup
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 VOCAB = [a + b for a in "bcdfgklm" for b in ("a", "E", "io", "ü")]
@@ -104,25 +104,6 @@ def test_registers_merge_and_estimate():
     assert abs(j[0] - 1800 / 2200) < 0.1
 
 
-def test_components(spark):
-    r = random.Random(2)
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(r.randint(200, 400), r.randint(200, 400)) for _ in range(80)]
-    parent = {x: x for e in edges for x in e if e[0] != e[1]}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        if a != b:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    assert got == {x: find(x) for x in parent}
-    assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
-
-
 def brute_contamination(docs, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = collections.defaultdict(set)
