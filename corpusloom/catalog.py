@@ -1,39 +1,6 @@
 """All queries of the library proper, with the DuckDB SQL that gives the same rows."""
 
-from __future__ import annotations
+from corpusloom.plans import corpus, joins, models  # noqa: F401  they register their queries
+from corpusloom.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, with its SQL if SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
-
-@query(
-    "word_probability",
-    r"""
-    WITH w AS (SELECT lang, unnest(string_split_regex(lower(text), '[ \n\t]+')) AS word FROM documents),
-    c AS (SELECT lang, word, count(*) AS cnt FROM w WHERE word <> '' GROUP BY lang, word)
-    SELECT lang, word, cnt, round(cnt / sum(cnt) OVER (PARTITION BY lang), 9) AS prob FROM c
-    """,
-)
-def word_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = docs.select("lang", F.explode(F.split(F.lower("text"), "[ \n\t]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").agg(F.count("*").alias("cnt"))
-    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("lang"))
-    return counts.withColumn("prob", F.round(share, 9))
+__all__ = ["ORACLE", "QUERIES"]
