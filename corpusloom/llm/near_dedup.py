@@ -11,9 +11,10 @@ Steps, each a Spark job on keys that texts share:
    others, so a group of any size makes as many pairs as it has members.
 3. Estimate: the likelihood of the registers' order (less, equal, greater) gives the similarity; pairs
    that are surely below the threshold are left out.
-4. Verify on the full sets, at first only each node's likeliest pair, then what isn't connected yet.
+4. Verify on the full sets, of each node only the likeliest pair. These links make a forest.
 5. Where members of a band are still unconnected, all their pairs are estimated, in blocks, and the
-   likely ones verified. So no link between nodes that share a band is lost.
+   likely ones verified. So no link between nodes that share a band is lost, only such as join what is
+   joined already.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ def estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a bigint, b bigint, likeness double").where(F.col("likeness") >= least)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of at least percent / 100."""
     pairs = stash(pairs.select("a", "b"), "pairs")
     ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
@@ -145,16 +146,16 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, perce
     if not n:
         return pairs
     # One document stands for each node; only those documents' texts are read on.
-    chosen = sketches.join(bounded(ends, n), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(bounded(chosen, n), "doc_id", "left_semi")
+    chosen = nodes.join(bounded(ends, n), "node").select(F.col("doc_id").alias("chosen")).distinct()
+    texts = docs.select("doc_id", "text").join(bounded(chosen, n), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
 
     def run(batch):
-        nodes, sets = [], []
+        names, sets = [], []
         for t in batch.column(1).to_pylist():
             s = shingles(joined_words(t), k)
-            nodes.append(node_of(s))
+            names.append(node_of(s))
             sets.append(s.view(np.int64))
-        return {"node": nodes, "members": pa.array(sets, pa.list_(pa.int64()))}
+        return {"node": names, "members": pa.array(sets, pa.list_(pa.int64()))}
 
     sets = arrow_map(texts, run, "node bigint, members array<bigint>").where("node is not null")
     sets = sets.join(bounded(ends, n), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
@@ -167,6 +168,18 @@ def verify(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, k: int, perce
     return stash(both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "links")
 
 
+def tops(links: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) in which each b has one a, and a < b: follow them, twice as far each time."""
+    at = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    while True:
+        up = at.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        at = stash(at.join(up, "root", "left").select("node", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "tops")
+        moved = not at.where("moved").isEmpty()
+        at = at.select("node", "root")
+        if not moved:
+            return at
+
+
 def _blocks(rows: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(a, b) of likely pairs in a band whose members are in different components.
 
@@ -174,6 +187,7 @@ def _blocks(rows: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -
     more than two blocks, whatever the band's size.
     """
     named = rows.join(roots, rows["node"] == roots["node"], "left").select("key", rows["node"], F.coalesce("root", rows["node"]).alias("root"))
+    named = stash(named, "named-bands")
     open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
     open_keys = stash(open_keys, "open-bands")
     if open_keys.isEmpty():
@@ -214,26 +228,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     null and the row is kept. An empty table gives an empty table.
     """
     sketches = stash(sketch_documents(docs, k), "sketches")
-    nodes = stash(sketches.where("node is not null").select("node", "sketch", "n_shingles").dropDuplicates(["node"]), "nodes")
+    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    nodes = stash(nodes, "nodes")
     rows = stash(band_keys(nodes), "bands")
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     rows = stash(rows.join(heads, "key"), "shared-bands")
     pairs = rows.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     least = percent / 100 - SLACK
-    likely = stash(estimate(pairs, nodes, least), "likely")
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a")).select("a", "b")
-    links = verify(best, docs, sketches, k, percent)
-    roots = stash(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    more = likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = _apart(more, roots)
-    if not more.isEmpty():
-        links = stash(links.unionByName(verify(more, docs, sketches, k, percent)), "links")
-        roots = stash(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    best = estimate(pairs, nodes, least).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
+    best = stash(best.select("a", "b"), "best")
+    roots = tops(verify(best, docs, nodes, k, percent))
     late = _blocks(rows.select("key", "node"), nodes, roots, least)
-    late = late.join(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    late = late.join(best, ["a", "b"], "left_anti")
+    late = stash(late, "late")
     if not late.isEmpty():
-        links = stash(links.unionByName(verify(late, docs, sketches, k, percent)), "links")
-        roots = stash(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        links = _named(verify(late, docs, nodes, k, percent), roots)
+        joined = stash(components(links).select(F.col("node").alias("old"), F.col("root").alias("new")), "joined")
+        ends = joined.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots.select("node"), "node", "left_anti")
+        moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+        roots = stash(moved.unionByName(ends), "roots")
     named = sketches.select("doc_id", "node", "n_shingles").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     named = stash(named.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "named")
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first")
@@ -241,9 +254,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
+def _named(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (u, v) between the components that links (a, b) join."""
     one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    both = pairs.join(one, "a", "left").join(two, "b", "left")
-    return stash(both.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart")
+    both = links.join(one, "a", "left").join(two, "b", "left")
+    return both.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v"))

@@ -68,7 +68,7 @@ def test_unconnected_band_members_meet(spark):
     base = text(r, 200)
     rows = [(i, edit(r, base, 4)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    sketches = near_dedup.sketch_documents(docs, 4).cache()
+    sketches = near_dedup.sketch_documents(docs, 4).cache()  # all sets differ, so documents are nodes
     keys = near_dedup.band_keys(sketches)
     roots = spark.createDataFrame([], "node bigint, root bigint")
     got = {(x["a"], x["b"]) for x in near_dedup._blocks(keys, sketches, roots, 0.68).collect()}
