@@ -90,6 +90,8 @@ class Kernel:
         """
         langs, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        if not at:
+            return langs, score
         values = np.clip(self.scores([texts[i] for i in at]), 1e-6, None)
         share = values / values.sum(axis=1, keepdims=True)
         for i, best, p in zip(at, values.argmax(axis=1), share.max(axis=1), strict=True):
