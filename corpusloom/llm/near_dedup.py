@@ -12,9 +12,11 @@ Steps, each a Spark job on keys that texts share:
 3. Estimate: the likelihood of the registers' order (less, equal, greater) gives the similarity; pairs
    that are surely below the threshold are left out.
 4. Verify on the full sets, of each node only the likeliest pair. These links make a forest.
-5. Where members of a band are still unconnected, all their pairs are estimated, in blocks, and the
-   likely ones verified. So no link between nodes that share a band is lost, only such as join what is
-   joined already.
+5. Members of a band that are still unconnected are paired likewise with a member of the band's largest
+   component, a few times over.
+6. What then remains outside meets the whole band in blocks: likely pairs are verified there, and each
+   group of two blocks gives only links that connect. So no link between nodes that share a band is
+   lost, only such as join what is joined already.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BASE_LOG = np.log(1.005)
 LIMIT = 65534
 #: Pairs with an estimate below the threshold by this much (over 4 standard errors) aren't verified.
 SLACK = 0.12
+#: Times that unconnected members of a band are paired with a member of its largest component.
+TURNS = 3
 #: Members of a band that are compared with each other in one block.
 BLOCK = 200
 
@@ -138,13 +142,10 @@ def estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a bigint, b bigint, likeness double").where(F.col("likeness") >= least)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of at least percent / 100."""
-    pairs = stash(pairs.select("a", "b"), "pairs")
-    ends = stash(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+def member_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, sketch, n_shingles, members) of the nodes in rows; members are the full sets."""
+    ends = stash(rows.select("node").distinct(), "ends")
     n = ends.count()
-    if not n:
-        return pairs
     # One document stands for each node; only those documents' texts are read on.
     chosen = nodes.join(bounded(ends, n), "node").select(F.col("doc_id").alias("chosen")).distinct()
     texts = docs.select("doc_id", "text").join(bounded(chosen, n), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
@@ -159,10 +160,14 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent:
 
     sets = arrow_map(texts, run, "node bigint, members array<bigint>").where("node is not null")
     sets = sets.join(bounded(ends, n), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
-    sets = stash(sets, "sets")
+    return stash(sets.join(nodes.select("node", "sketch", "n_shingles"), "node"), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have a similarity of at least percent / 100."""
     one = sets.select(F.col("node").alias("a"), F.col("members").alias("ma"))
     two = sets.select(F.col("node").alias("b"), F.col("members").alias("mb"))
-    both = pairs.join(one, "a").join(two, "b")
+    both = pairs.select("a", "b").join(one, "a").join(two, "b")
     shared = F.size(F.array_intersect("ma", "mb")).cast("bigint")
     both = both.select("a", "b", shared.alias("shared"), (F.size("ma") + F.size("mb")).cast("bigint").alias("total"))
     return stash(both.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "links")
@@ -180,42 +185,71 @@ def tops(links: DataFrame) -> DataFrame:
             return at
 
 
-def _blocks(rows: DataFrame, nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b) of likely pairs in a band whose members are in different components.
+def unconnected(rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """(key, node, root) of bands with several components, and what is known of each such band.
 
-    A band's members are cut into blocks and each two blocks meet in one group, so no group holds
-    more than two blocks, whatever the band's size.
+    top is the component with most members there, head one of its members (another in each turn), size
+    the band's number of members and rest the number of those outside top.
     """
     named = rows.join(roots, rows["node"] == roots["node"], "left").select("key", rows["node"], F.coalesce("root", rows["node"]).alias("root"))
     named = stash(named, "named-bands")
-    open_keys = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y").select("key", "size")
-    open_keys = stash(open_keys, "open-bands")
-    if open_keys.isEmpty():
-        return rows.sparkSession.createDataFrame([], "a bigint, b bigint")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = named.join(open_keys, "key").join(nodes.select("node", "sketch", "n_shingles"), "node")
-    rows = rows.withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("key", "node", "root", "sketch", "n_shingles", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head"))
+    bands = parts.groupBy("key").agg(F.count("*").alias("n_roots"), F.sum("n").alias("size"), F.max(F.struct("n", "root", "head")).alias("most")).where("n_roots > 1")
+    bands = bands.select("key", "size", F.col("most.root").alias("top"), F.col("most.head").alias("head"), (F.col("size") - F.col("most.n")).alias("rest"))
+    return stash(named.join(bands, "key"), "open-bands")
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is unconnected in a band, rows being of unconnected().
+
+    The members outside the band's largest component meet all of the band. Both are cut into blocks and
+    each two blocks meet in one group, so no group holds more than two blocks, whatever the band's size.
+    A group gives a link only where it connects components, so fewer links than it has members.
+    """
+    rows = rows.withColumn("outside", F.col("root") != F.col("top"))
+    parts, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("rest", "size"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    names = ["key", "node", "root", "outside"]
+    left = rows.where("outside").select(*names, F.lit(True).alias("asks"), own(parts).alias("p"), F.explode(F.sequence(F.lit(0), others - 1)).alias("q"))
+    right = rows.select(*names, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), own(others).alias("q"))
+    met = left.unionByName(right).join(sets, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        node, root = group["node"].to_numpy(), group["root"].to_numpy()
-        size = group["n_shingles"].to_numpy().astype(np.float64)
+        node, root, size = group["node"].to_numpy(), group["root"].to_numpy().copy(), group["n_shingles"].to_numpy().astype(np.float64)
+        outside, asks = (np.asarray(group[c].to_pylist(), bool) for c in ("outside", "asks"))
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        block, q, p = group["block"].to_numpy(), group["q"][0].as_py(), group["p"][0].as_py()
-        out_a, out_b = [], []
-        right = np.flatnonzero(block == q)
-        for i in np.flatnonzero(block == p):
-            j = right[root[right] != root[i]]
-            if len(j):
-                j = j[_estimates(sketch[i][None], sketch[j], np.full(len(j), size[i]), size[j]) >= least]
-                out_a.append(np.minimum(node[i], node[j]))
-                out_b.append(np.maximum(node[i], node[j]))
-        flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-        return pa.table({"a": flat(out_a), "b": flat(out_b)})
-
-    found = rows.groupBy("key", "p", "q").applyInArrow(run, "a bigint, b bigint")
-    return stash(found.distinct(), "late-pairs")
+        members = [m for c in group["members"].chunks for m in c]
+        sets: dict[int, np.ndarray] = {}
+
+        def members_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = members[i].values.to_numpy()
+            return sets[i]
+
+        answers, found = np.flatnonzero(~asks), []
+        for i in np.flatnonzero(asks):
+            # Two members outside the largest component meet twice; the lesser one asks.
+            j = answers[(root[answers] != root[i]) & (~outside[answers] | (node[answers] > node[i]))]
+            if not len(j):
+                continue
+            likeness = _estimates(sketch[i][None], sketch[j], np.full(len(j), size[i]), size[j])
+            for x in j[np.argsort(-likeness, kind="stable")][: int((likeness >= least).sum())]:
+                if root[x] != root[i]:
+                    shared = len(np.intersect1d(members_of(i), members_of(x), assume_unique=True))
+                    if 100 * shared >= percent * (size[i] + size[x] - shared):
+                        found.append((int(node[i]), int(node[x])))
+                        root[root == root[x]] = root[i]
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    return stash(met.groupBy("key", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct(), "late-links")
+
+
+def connected(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (a, b)."""
+    joined = stash(components(_named(links, roots)).select(F.col("node").alias("old"), F.col("root").alias("new")), "joined")
+    ends = joined.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots.select("node"), "node", "left_anti")
+    moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    return stash(moved.unionByName(ends), "roots")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -235,18 +269,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rows = stash(rows.join(heads, "key"), "shared-bands")
     pairs = rows.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     least = percent / 100 - SLACK
-    best = estimate(pairs, nodes, least).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
-    best = stash(best.select("a", "b"), "best")
-    roots = tops(verify(best, docs, nodes, k, percent))
-    late = _blocks(rows.select("key", "node"), nodes, roots, least)
-    late = late.join(best, ["a", "b"], "left_anti")
-    late = stash(late, "late")
-    if not late.isEmpty():
-        links = _named(verify(late, docs, nodes, k, percent), roots)
-        joined = stash(components(links).select(F.col("node").alias("old"), F.col("root").alias("new")), "joined")
-        ends = joined.select(F.col("old").alias("node"), F.col("new").alias("root")).join(roots.select("node"), "node", "left_anti")
-        moved = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-        roots = stash(moved.unionByName(ends), "roots")
+    sets = member_sets(docs, rows, nodes, k)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        best = estimate(pairs, sets, least).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
+        return verify(best, sets, percent)
+
+    roots = tops(likely(pairs))
+    still = unconnected(rows, roots, 0)
+    for turn in range(1, TURNS + 1):
+        links = likely(still.where("root <> top").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+        if links.isEmpty():
+            break
+        roots = connected(roots, links)
+        still = unconnected(still.select("key", "node"), roots, turn)
+    links = _blocks(still, sets, least, percent)
+    if not links.isEmpty():
+        roots = connected(roots, links)
     named = sketches.select("doc_id", "node", "n_shingles").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     named = stash(named.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "named")
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first")

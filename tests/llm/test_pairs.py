@@ -71,21 +71,24 @@ def test_unconnected_band_members_meet(spark):
     sketches = near_dedup.sketch_documents(docs, 4).cache()  # all sets differ, so documents are nodes
     keys = near_dedup.band_keys(sketches)
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    got = {(x["a"], x["b"]) for x in near_dedup._blocks(keys, sketches, roots, 0.68).collect()}
-    nodes = {x["node"]: x for x in sketches.collect()}
-    by_key = collections.defaultdict(set)
-    for x in keys.collect():
-        by_key[x["key"]].add(x["node"])
-    want = set()
-    for group in by_key.values():
-        for a in group:
-            for b in group:
-                if a < b:
-                    s = [np.frombuffer(nodes[x]["sketch"], np.uint16)[None] for x in (a, b)]
-                    n = [np.array([float(nodes[x]["n_shingles"])]) for x in (a, b)]
-                    if near_dedup._estimates(*s, *n)[0] >= 0.68:
-                        want.add((a, b))
-    assert got == want and want
+    sets = near_dedup.member_sets(docs, keys, sketches, 4)
+    links = near_dedup._blocks(near_dedup.unconnected(keys, roots, 0), sets, 0.68, 80).collect()
+    at = {x["doc_id"]: x["node"] for x in sketches.collect()}
+    parent = {n: n for n in at.values()}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in links:
+        parent[find(x["a"])] = find(x["b"])
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for i, (_, root) in brute_components(rows, 4).items():
+        want[root].add(i)
+        got[find(at[i])].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert len(links) < 30 * 30 and len(want) < 30
 
 
 def test_near_duplicates_odd_rows(spark):
