@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     null and the row is kept. An empty table gives an empty table.
     """
     sketches = stash(sketch_documents(docs, k), "sketches")
-    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    nodes = sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n_docs"))
     nodes = stash(nodes, "nodes")
     rows = stash(band_keys(nodes), "bands")
     heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
@@ -286,10 +286,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = _blocks(still, sets, least, percent)
     if not links.isEmpty():
         roots = connected(roots, links)
-    named = sketches.select("doc_id", "node", "n_shingles").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
-    named = stash(named.select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")), "named")
-    first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first")
-    out = named.join(first, F.col("root") == F.col("of"), "left").withColumn("component_id", F.coalesce("first", "doc_id"))
+    # By node, so that a set which a third of the documents have is one row; only then by document.
+    named = nodes.select("node", "doc_id", "n_docs").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "doc_id", "n_docs", F.coalesce("root", "node").alias("root"))
+    first = named.groupBy("root").agg(F.min("doc_id").alias("first"), F.sum("n_docs").alias("n")).where("n > 1").select("root", "first")
+    first = stash(named.join(first, "root").select(F.col("node").alias("of"), "first"), "first")
+    out = sketches.select("doc_id", "node", "n_shingles").join(bounded(first, first.count()), F.col("node") == F.col("of"), "left").withColumn("component_id", F.coalesce("first", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
