@@ -62,6 +62,72 @@ def train_diagonal(parallel: DataFrame, iterations: int = 4, null_share: float =
     return table
 
 
+def train_ibm2(parallel: DataFrame, iterations: int = 4, first: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(src, trg, prob) and (i, j, n_source, n_target, prob), positions having probabilities of their own.
+
+    first is a table to begin with, IBM-1's if it isn't given; positions begin evenly. Each round is as in
+    IBM-1, with one more aggregation for the positions.
+    """
+    sizes = parallel.select("seg", F.size("target_segment").alias("n_target"))
+    pairs = stash(word_pairs(parallel).join(sizes, "seg"), "ibm2-pairs")
+    table = train_ibm1(parallel) if first is None else first
+    place, at = None, ["i", "j", "n_source", "n_target"]
+    for _ in range(iterations):
+        rows = pairs.join(table.withColumnRenamed("prob", "t"), ["src", "trg"])
+        rows = rows.withColumn("a", 1 / (F.col("n_source") + 1)) if place is None else rows.join(place.withColumnRenamed("prob", "a"), at)
+        rows = rows.withColumn("p", F.col("t") * F.col("a"))
+        sums = rows.groupBy("seg", "j").agg(F.sum("p").alias("z"))
+        shares = stash(rows.join(sums.where("z > 0"), ["seg", "j"]).select("src", "trg", *at, (F.col("p") / F.col("z")).alias("c")), "ibm2-shares")
+        words = shares.groupBy("src", "trg").agg(F.sum("c").alias("c"))
+        table = stash(words.join(words.groupBy("src").agg(F.sum("c").alias("total")), "src").select("src", "trg", (F.col("c") / F.col("total")).alias("prob")), "ibm2")
+        spots = shares.groupBy(*at).agg(F.sum("c").alias("c"))
+        place = stash(spots.join(spots.groupBy(*at[1:]).agg(F.sum("c").alias("total")), at[1:]).select(*at, (F.col("c") / F.col("total")).alias("prob")), "ibm2-places")
+    return table, place
+
+
+def exclusive_links(scores: Column) -> Column:
+    """Pairs (i, j) of scores (array of structs i, j, score), each position in one pair at most.
+
+    The best pair is taken first; of equals the one nearer to the diagonal, then the lesser positions.
+    """
+    order = F.array_sort(F.transform(scores, lambda x: F.struct((-x["score"]).alias("cost"), F.abs(x["i"] - x["j"]).alias("far"), x["i"].cast("int").alias("i"), x["j"].cast("int").alias("j"))))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+
+    def step(taken: Column, x: Column) -> Column:
+        used = F.exists(taken, lambda t: (t["i"] == x["i"]) | (t["j"] == x["j"]))
+        return F.when(used, taken).otherwise(F.concat(taken, F.array(F.struct(x["i"].alias("i"), x["j"].alias("j")))))
+
+    return F.array_sort(F.aggregate(order, none, step))
+
+
+def phrase_pairs(aligned: DataFrame, longest: int = 7) -> DataFrame:
+    """(seg, src, trg) of aligned (seg, source_segment, target_segment, pairs): phrases that pairs never leave.
+
+    A source phrase goes with the target words between its first and last partner. It is left out if one of
+    those words has a partner outside it. Phrases aren't widened by words without partners.
+    """
+    spans = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("source_segment") - 1),
+            lambda a: F.transform(F.sequence(a, F.least(a + longest, F.size("source_segment")) - 1), lambda b: F.struct(a.alias("a"), b.alias("b"))),
+        )
+    )
+    rows = aligned.where((F.size("source_segment") > 0) & (F.size("pairs") > 0)).select("*", F.explode(spans).alias("s"))
+    inner = F.filter("pairs", lambda p: p["i"].between(F.col("s.a"), F.col("s.b")))
+    rows = rows.withColumn("js", F.transform(inner, lambda p: p["j"])).where(F.size("js") > 0)
+    rows = rows.withColumn("c", F.array_min("js")).withColumn("d", F.array_max("js")).where(F.col("d") - F.col("c") < longest)
+    leaves = F.exists("pairs", lambda p: p["j"].between(F.col("c"), F.col("d")) & ~p["i"].between(F.col("s.a"), F.col("s.b")))
+    cut = lambda side, a, b: F.array_join(F.slice(side, a + 1, b - a + 1), " ")
+    return rows.where(~leaves).select("seg", cut("source_segment", F.col("s.a"), F.col("s.b")).alias("src"), cut("target_segment", F.col("c"), F.col("d")).alias("trg"))
+
+
+def phrase_table(aligned: DataFrame, longest: int = 7) -> DataFrame:
+    """(src, trg, n, prob, inverse): phrases with their shares among the source's and the target's pairs."""
+    n = phrase_pairs(aligned, longest).groupBy("src", "trg").agg(F.count("*").alias("n"))
+    of_source, of_target = n.groupBy("src").agg(F.sum("n").alias("s")), n.groupBy("trg").agg(F.sum("n").alias("t"))
+    return n.join(of_source, "src").join(of_target, "trg").select("src", "trg", "n", (F.col("n") / F.col("s")).alias("prob"), (F.col("n") / F.col("t")).alias("inverse"))
+
+
 def best_pairs(parallel: DataFrame, table: DataFrame) -> DataFrame:
     """(seg, j, i, prob): each target word's likeliest source word; of equals the first; null words are left out."""
     rows = word_pairs(parallel).join(table, ["src", "trg"])
