@@ -129,9 +129,12 @@ def phrase_table(aligned: DataFrame, longest: int = 7) -> DataFrame:
 
 
 def best_pairs(parallel: DataFrame, table: DataFrame) -> DataFrame:
-    """(seg, j, i, prob): each target word's likeliest source word; of equals the first; null words are left out."""
+    """(seg, j, i, prob): each target word's likeliest source word; of equals the first; null words are left out.
+
+    Probabilities are equal up to 12 digits: sums in another order differ in the last ones.
+    """
     rows = word_pairs(parallel).join(table, ["src", "trg"])
-    best = rows.groupBy("seg", "j").agg(F.max_by(F.struct("i", "prob"), F.struct("prob", -F.col("i"))).alias("b"))
+    best = rows.groupBy("seg", "j").agg(F.max_by(F.struct("i", "prob"), F.struct(F.round("prob", 12), -F.col("i"))).alias("b"))
     return best.select("seg", "j", "b.i", "b.prob").where("i >= 0")
 
 
