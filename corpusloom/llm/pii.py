@@ -36,7 +36,7 @@ PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9])"
 DATE = r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"
-SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{0,31}[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"
 #: In this order: of the kinds that match at one place, the first takes it.
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
@@ -169,7 +169,7 @@ def _email(value: Column, key: str) -> Column:
 
 def _secret(value: Column, key: str) -> Column:
     whole = F.concat(_hashed(value, "secret", key), _hashed(value, "secret+", key))
-    return F.substring(whole, F.lit(1), F.length(value))
+    return F.substring(F.repeat(whole, F.ceil(F.length(value) / 128).cast("int")), F.lit(1), F.length(value))
 
 
 def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
@@ -199,7 +199,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     repeated rows too. Texts are cut at the values, so a text of any length is worked through once.
     """
     col = F.col(f"`{text}`")
-    maybe = col.rlike("[0-9@]") & col.rlike("[0-9]{3}|@|[0-9][.][0-9]")
+    maybe = col.rlike("[0-9@]") & col.rlike("[0-9]{3}|@|[0-9][.][0-9]|[0-9A-Fa-f]{32}")
     values = F.when(maybe, F.regexp_extract_all(col, F.lit(f"({ANY})"), F.lit(1)))
     between = F.split(col, ANY, -1)
     names = set(docs.columns)

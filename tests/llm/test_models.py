@@ -148,6 +148,16 @@ def test_pseudonymize(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_alone_in_their_text(spark):
+    secrets = ["a1b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4", "ab" * 20 + "1c" * 4, "a1b2" * 50, "c" * 4000 + "7"]
+    rows = [(i, f"key {s}.") for i, s in enumerate(secrets)] + [(9, "key " + "abcdef" * 6 + ".")]
+    got = {x["doc_id"]: x for x in pii.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string"), count="n").collect()}
+    for i, s in enumerate(secrets):
+        found = re.fullmatch(r"key ([0-9a-f]+)\.", got[i]["text"])
+        assert found and len(found[1]) == len(s) and found[1] != s and got[i]["n"] == 1
+    assert (got[9]["text"], got[9]["n"]) == (rows[-1][1], 0)  # no digit, no secret
+
+
 def test_keys_differ(spark):
     df = spark.createDataFrame([(v,) for v in VALUES], "x string")
     assert df.where(pii.pseudonym(F.col("x"), "one") == pii.pseudonym(F.col("x"), "two")).count() == 0
