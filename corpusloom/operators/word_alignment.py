@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stash
@@ -22,15 +22,19 @@ def word_pairs(parallel: DataFrame, source: str = "source_segment", target: str
 def train_ibm1(parallel: DataFrame, iterations: int = 4) -> DataFrame:
     """(src, trg, prob) after some rounds, from even probabilities.
 
-    A round is one join of pairs with the table and two aggregations. The table is then
-    written to the shared folder, which ends its lineage.
+    Equal words of a segment have equal shares, so its words are counted before they are paired. A round
+    is one join of pairs with the table, a window over a target word's sources in its segment, and two
+    aggregations. The table is then written to the shared folder, which ends its lineage.
     """
-    pairs = word_pairs(parallel).groupBy("seg", "j", "trg", "src").agg(F.count("*").alias("times"))
+    count = lambda words, name: parallel.select("seg", F.explode(words).alias(name)).groupBy("seg", name).agg(F.count("*").alias(f"n_{name}"))
+    sources, targets = count(F.concat(F.array(F.lit(NULL)), "source_segment"), "src"), count(F.col("target_segment"), "trg")
+    pairs = stash(sources, "ibm1-sources").join(stash(targets, "ibm1-targets"), "seg")
+    share = F.col("p") * F.col("n_src")
     table = None
     for _ in range(iterations):
         rows = pairs.withColumn("p", F.lit(1.0)) if table is None else pairs.join(table.withColumnRenamed("prob", "p"), ["src", "trg"])
-        sums = rows.groupBy("seg", "j").agg(F.sum(F.col("p") * F.col("times")).alias("z"))
-        counts = rows.join(sums, ["seg", "j"]).groupBy("src", "trg").agg(F.sum(F.col("p") * F.col("times") / F.col("z")).alias("c"))
+        rows = rows.withColumn("z", F.sum(share).over(Window.partitionBy("seg", "trg")))
+        counts = rows.groupBy("src", "trg").agg(F.sum(share * F.col("n_trg") / F.col("z")).alias("c"))
         totals = counts.groupBy("src").agg(F.sum("c").alias("total"))
         table = counts.join(totals, "src").select("src", "trg", (F.col("c") / F.col("total")).alias("prob"))
         table = stash(table, "ibm1")

@@ -212,13 +212,13 @@ def truecase_model(spark, sf_dir):
 
 def _parallel(spark, sf_dir):
     rows = joins.align_rows(*sides(spark, sf_dir))
-    short = lambda c: F.slice(F.transform(c, lambda t: F.lower(F.substring(t, 1, 4))), 1, 12)
-    return rows.select(F.xxhash64("text_id", "ref").alias("seg"), short("source_segment").alias("source_segment"), short("target_segment").alias("target_segment")).where("size(source_segment) > 0 and size(target_segment) > 0")
+    lower = lambda c: F.transform(c, F.lower).alias(c)
+    return rows.select(F.xxhash64("text_id", "ref").alias("seg"), lower("source_segment"), lower("target_segment")).where("size(source_segment) > 0 and size(target_segment) > 0")
 
 
 @query("ibm1_ttable")
 def ibm1_ttable(spark, sf_dir):
-    return word_alignment.train_ibm1(_parallel(spark, sf_dir), 3).where("prob > 0.001")
+    return word_alignment.train_ibm1(_parallel(spark, sf_dir), 3)
 
 
 @query("lexicon_beam")
@@ -234,7 +234,9 @@ def symmetrize_gdfa(spark, sf_dir):
     direct = pairs(word_alignment.best_pairs(rows, word_alignment.train_ibm1(rows, 2))).withColumnRenamed("pairs", "direct")
     other = word_alignment.best_pairs(back, word_alignment.train_ibm1(back, 2)).select("seg", F.col("j").alias("i"), F.col("i").alias("j"))
     inverse = pairs(other).withColumnRenamed("pairs", "inverse")
-    both = word_alignment.symmetrize_rows(direct.join(inverse, "seg"))
+    none = F.array().cast("array<struct<i:int,j:int>>")  # all words of a segment may go to the null word
+    whole = rows.select("seg").distinct().join(direct, "seg", "left").join(inverse, "seg", "left")
+    both = word_alignment.symmetrize_rows(whole.select("seg", F.coalesce("direct", none).alias("direct"), F.coalesce("inverse", none).alias("inverse")))
     return both.select("seg", word_alignment.to_pharaoh(F.col("pairs")).alias("pairs"))
 
 

@@ -5,6 +5,7 @@ import math
 
 import pytest
 from corpusloom.operators import evaluation, morphology, statistics, word_alignment
+from corpusloom.plans import models
 from corpusloom.streaming import counts as streams
 from pyspark.sql import functions as F
 
@@ -118,6 +119,24 @@ def test_ibm1(spark):
     assert diagonal["isthay", "this"] > diagonal["isthay", "is"]
 
 
+def conversations(spark, at, pairs):
+    rows = [(c, turn, role, text) for c, both in enumerate(pairs) for turn, (role, text) in enumerate(zip(("user", "assistant"), both, strict=True))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    return str(at)
+
+
+def test_aligner_queries_take_whole_segments(spark, tmp_path):
+    pairs = [("Walked walking a b c d e f g h i j k l late", "laufend lauft A B C D E F G H I J K L last last"), ("late walking", "last laufend"), ("w", " ".join(f"v{i}" for i in range(1200)))]
+    got = {(r["src"], r["trg"]): r["prob"] for r in models.ibm1_ttable(spark, conversations(spark, tmp_path, pairs)).collect()}
+    want = brute_ibm1([(s.lower().split(), t.lower().split()) for s, t in pairs], 3)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_segments_without_links_stay(spark, tmp_path):
+    got = models.symmetrize_gdfa(spark, conversations(spark, tmp_path, [("x", "a")])).collect()
+    assert [r["pairs"] for r in got] == [""]  # both words are as likely to come from the null word
+
+
 def test_symmetrize(spark):
     a, b = {(0, 0), (1, 1), (2, 1)}, {(0, 0), (1, 2), (2, 1), (3, 3)}
     assert word_alignment.symmetrize(a, b, "intersection") == {(0, 0), (2, 1)} and word_alignment.symmetrize(a, b, "union") == a | b
