@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +105,37 @@ def exclusive_links(scores: Column) -> Column:
     return F.array_sort(F.aggregate(order, none, step))
 
 
+def _exclusive(scores: list[float], n_target: int) -> list[tuple[int, int]]:
+    i, j = np.divmod(np.arange(len(scores)), max(n_target, 1))
+    order = np.lexsort((np.abs(i - j), -np.asarray(scores, dtype=float)))  # stable: of equals the lesser positions
+    most, rows, cols, out = min(len(scores) // max(n_target, 1), n_target), set(), set(), []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if len(out) == most:
+            break
+        if x not in rows and y not in cols:
+            rows.add(x)
+            cols.add(y)
+            out.append((x, y))
+    return sorted(out)
+
+
+def exclusive_links_of_all(rows: DataFrame, n_target: str, scores: str) -> DataFrame:
+    """rows with pairs in place of scores: exclusive_links where each pair of positions has a score.
+
+    scores are doubles by source position, then target position. Positions in use are looked up in sets,
+    so a segment takes the time of sorting its scores. Batches are small: scores grow with both lengths.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [[{"i": i, "j": j} for i, j in _exclusive(s, n)] for s, n in zip(f[scores], f[n_target], strict=True)]
+            yield f.drop(columns=[scores]).assign(pairs=made)
+
+    kept = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema if x.name != scores)
+    return rows.mapInPandas(run, f"{kept}, pairs array<struct<i: int, j: int>>")
+
+
 def phrase_pairs(aligned: DataFrame, longest: int = 7) -> DataFrame:
     """(seg, src, trg) of aligned (seg, source_segment, target_segment, pairs): phrases that pairs never leave.
 

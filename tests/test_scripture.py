@@ -4,6 +4,7 @@ import random
 
 import pytest
 from corpusloom.operators import features, morphology, quotations, verses, word_alignment
+from corpusloom.plans import scripture as plans
 from corpusloom.sources import scripture
 from pyspark.sql import functions as F
 
@@ -109,6 +110,26 @@ def test_exclusive_links_equal_greedy(spark):
         assert got[seg] == sorted(want)
 
 
+def test_links_of_all_pairs_equal_greedy(spark):
+    r = random.Random(5)
+    rows = [(s, n, [float(r.randint(0, 4)) for _ in range(m * n)]) for s, (m, n) in enumerate((r.randint(0, 20), r.randint(0, 20)) for _ in range(30))]
+    df = spark.createDataFrame(rows, "seg int, n int, scores array<double>")
+    struct = F.transform("scores", lambda x, k: F.struct(F.floor(k / F.col("n")).alias("i"), (k % F.col("n")).alias("j"), x.alias("score")))
+    got = {x["seg"]: x["pairs"] for x in word_alignment.exclusive_links_of_all(df, "n", "scores").collect()}
+    assert got == {x["seg"]: x["b"] for x in df.select("seg", word_alignment.exclusive_links(struct).alias("b")).collect()} and len(got) == 30
+
+
+def test_alignment_queries_take_whole_segments(spark, tmp_path):
+    words = [chr(97 + i) * 3 for i in range(20)]
+    rows = [(0, 0, "user", " ".join(words)), (0, 1, "assistant", " ".join(words))]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    links = plans.exclusive_links(spark, str(tmp_path)).first()["pairs"]
+    assert links == " ".join(f"{i}-{i}" for i in range(20))
+    phrases = {x["src"] for x in plans.phrase_table(spark, str(tmp_path)).collect()}
+    assert phrases == {" ".join(words[a:b]) for a in range(20) for b in range(a + 1, min(a + 7, 20) + 1)}
+    assert {x["trg"] for x in plans.ibm2_ttable(spark, str(tmp_path)).collect()} == set(words)
+
+
 def test_phrases_equal_brute_force(spark):
     r = random.Random(4)
     rows = []
