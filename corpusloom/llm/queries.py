@@ -84,9 +84,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_pii")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import pseudonymize
+    from .pii import pseudonymize, session_key
 
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count="n_values")
 
 
 @query("op3_html_extraction")
