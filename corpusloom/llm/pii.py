@@ -85,6 +85,8 @@ TOKEN = "(?<![0-9A-Za-z_-])(?:" + "|".join(a + b for a, b in TOKENS.items()) + "
 #: In this order: of the kinds that match at one place, the first takes it.
 KINDS = {"email": EMAIL, "secret": SECRET, "token": TOKEN, "iban": IBAN, "ipv4": IPV4, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
+#: What a text with any value has: a token's prefix, or a digit or @, without which no other kind matches.
+MAYBE = "[0-9@]|" + "|".join(TOKENS)
 
 
 def session_key(spark: SparkSession) -> str:
@@ -304,10 +306,10 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     col = F.col(f"`{text}`")
     names = set(docs.columns)
     v = next(f"__values{i}" for i in range(len(names) + 1) if f"__values{i}" not in names)
-    out = docs.withColumn(v, F.regexp_extract_all(col, F.lit(f"({ANY})"), F.lit(1)))
+    out = docs.withColumn(v, F.when(col.rlike(MAYBE), F.regexp_extract_all(col, F.lit(f"({ANY})"), F.lit(1))))
     new = F.transform(F.col(v), lambda x: pseudonym(x, key))
     pieces = F.zip_with(F.split(col, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     out = out.withColumn(text, F.when(F.size(v) > 0, F.array_join(pieces, "")).otherwise(col))
     if count:
-        out = out.withColumn(count, F.coalesce(F.size(F.filter(v, lambda x: kind_of(x).isNotNull())), F.lit(0)).cast("bigint"))
+        out = out.withColumn(count, F.greatest(F.coalesce(F.size(F.filter(v, lambda x: kind_of(x).isNotNull())), F.lit(0)), F.lit(0)).cast("bigint"))
     return out.drop(v)

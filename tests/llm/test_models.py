@@ -211,6 +211,13 @@ def test_what_is_not_valid_stays(spark):
     assert all((got[i]["text"], got[i]["n"]) == (f"from {v} to {v}.", 0) for i, v in enumerate(DECOYS))
 
 
+def test_each_value_passes_the_filter_of_texts():
+    values = [*ALL_VALUES, *TOKENS, "a.b@c.example", "a1" * 16]
+    assert all(re.search(pii.MAYBE, v) and re.search(pii.ANY, v) for v in values)
+    # Without a digit and an @ no kind but tokens matches: each pattern asks for one of them.
+    assert not any(re.search(pii.KINDS[k], re.sub("[0-9@]", "x", v)) for v in values for k in pii.KINDS if k != "token")
+
+
 def test_pseudonyms_need_a_key(spark):
     with pytest.raises(ValueError):
         pii.pseudonymize(spark.createDataFrame([(1, "x")], "doc_id bigint, text string"), "")
