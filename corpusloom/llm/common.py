@@ -16,8 +16,8 @@ __all__ = ["arrow_map", "bounded", "mix", "shared_dir", "shingles", "stash", "ta
 #: Rows per Arrow batch: 1,000 very long texts still fit a small Python worker.
 ARROW_ROWS = 1000
 
-#: Rows up to which a helper table is broadcast; beyond it the same join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a helper table is broadcast; beyond it the same join shuffles.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, n_rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows stay below the limit, else df as it is."""
-    return F.broadcast(df) if n_rows <= limit else df
+def n_bytes(df: DataFrame) -> int:
+    """About the bytes of a table's rows, counted: 16 a row, 16 a column, and what strings, binaries and arrays hold."""
+    held = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif kind.startswith("array"):
+            held = held + 16 * F.greatest(F.size(F.col(f"`{f.name}`")), F.lit(0))
+    return df.agg(F.sum(held.cast("bigint") + 16 + 16 * len(df.columns))).first()[0] or 0
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a table at rest, with a broadcast hint if its counted bytes stay below the limit, else as it is."""
+    return F.broadcast(df) if n_bytes(df) <= limit else df
 
 
 def settle(spark: SparkSession) -> None:

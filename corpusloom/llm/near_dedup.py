@@ -145,10 +145,9 @@ def estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 def member_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, sketch, n_shingles, members) of the nodes in rows; members are the full sets."""
     ends = stash(rows.select("node").distinct(), "ends")
-    n = ends.count()
     # One document stands for each node; only those documents' texts are read on.
-    chosen = nodes.join(bounded(ends, n), "node").select(F.col("doc_id").alias("chosen")).distinct()
-    texts = docs.select("doc_id", "text").join(bounded(chosen, n), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    chosen = nodes.join(bounded(ends), "node").select(F.col("doc_id").alias("chosen")).distinct()
+    texts = docs.select("doc_id", "text").join(bounded(stash(chosen, "chosen")), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
 
     def run(batch):
         names, sets = [], []
@@ -159,7 +158,7 @@ def member_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, k: int) -> D
         return {"node": names, "members": pa.array(sets, pa.list_(pa.int64()))}
 
     sets = arrow_map(texts, run, "node bigint, members array<bigint>").where("node is not null")
-    sets = sets.join(bounded(ends, n), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    sets = sets.join(bounded(ends), "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
     return stash(sets.join(nodes.select("node", "sketch", "n_shingles"), "node"), "sets")
 
 
@@ -290,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = nodes.select("node", "doc_id", "n_docs").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "doc_id", "n_docs", F.coalesce("root", "node").alias("root"))
     first = named.groupBy("root").agg(F.min("doc_id").alias("first"), F.sum("n_docs").alias("n")).where("n > 1").select("root", "first")
     first = stash(named.join(first, "root").select(F.col("node").alias("of"), "first"), "first")
-    out = sketches.select("doc_id", "node", "n_shingles").join(bounded(first, first.count()), F.col("node") == F.col("of"), "left").withColumn("component_id", F.coalesce("first", "doc_id"))
+    out = sketches.select("doc_id", "node", "n_shingles").join(bounded(first), F.col("node") == F.col("of"), "left").withColumn("component_id", F.coalesce("first", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 

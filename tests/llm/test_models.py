@@ -2,9 +2,11 @@
 
 import datetime
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from corpusloom.llm import html_extraction, language_id, page_corpus, pii, toxicity
@@ -71,6 +73,82 @@ def test_toxicity_joined_equals_broadcast(spark):
     assert rows(toxicity.gains(docs.select("doc_id", "text"), model)) == rows(toxicity.joined_gains(base, model))
 
 
+def kneser_ney_by_hand(train, significant, least=toxicity.LEAST_COUNT, d=toxicity.DISCOUNT):
+    """log P_toxic - log P_ordinary of a text, both models computed from the formulas with plain dictionaries."""
+    n, far = [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
+    for text, y in train:
+        w = ["", "", *re.findall(r"[^\W_]+", text.lower())]
+        for i in range(2, len(w)):
+            h = w[i - 1] if i > 2 else ""
+            for key in ((h, w[i]), w[i]):
+                n[y][key] += 1
+                far[y][key].add(w[i - 2] if i > 3 else "")
+    pairs = [{k: v for k, v in c.items() if isinstance(k, tuple)} for c in n]
+    words = [{k: v for k, v in c.items() if isinstance(k, str)} for c in n]
+    size = [sum(c.values()) for c in words]
+    after = [Counter(), Counter()]
+    for c in (0, 1):
+        for (h, _), v in pairs[c].items():
+            after[c][h] += v
+    before = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    total, kinds = sum(before.values()), len(before)
+
+    def g(a, b, of_a, of_b):
+        p, part = (a + b) / (of_a + of_b), lambda k, of, q: k * math.log(k / (of * q)) if k else 0.0
+        return 2 * (part(a, of_a, p) + part(b, of_b, p) + part(of_a - a, of_a, 1 - p) + part(of_b - b, of_b, 1 - p))
+
+    def telling(key, of_a, of_b, few):
+        if significant <= 0:
+            return True
+        a, b = n[1][key], n[0][key]
+        x, y = min(a, len(far[1][key])), min(b, len(far[0][key]))
+        return of_a and of_b and max(x, y) >= few and g(a, b, of_a, of_b) >= significant and g(x, y, of_a, of_b) >= significant
+
+    told = {w for w in before if telling(w, size[1], size[0], 0)}
+    told_pairs = {k for k in set(pairs[0]) | set(pairs[1]) if telling(k, after[1][k[0]], after[0][k[0]], least)}
+
+    def p(c, h, w):
+        shared = (max(before[w] - d, 0) + d * kinds / (kinds + 1)) / total
+        left = 1 - sum(max(v - d, 0) for x, v in words[c].items() if x in told) / size[c]
+        low = (max(words[c].get(w, 0) - d, 0) / size[c] if w in told else 0) + left * shared
+        if not after[c][h]:
+            return low
+        left = 1 - sum(max(v - d, 0) for k, v in pairs[c].items() if k[0] == h and k in told_pairs) / after[c][h]
+        return (max(pairs[c].get((h, w), 0) - d, 0) / after[c][h] if (h, w) in told_pairs else 0) + left * low
+
+    return lambda text: sum(math.log(p(1, h, w) / p(0, h, w)) for ws in [re.findall(r"[^\W_]+", text.lower())] for h, w in zip(["", *ws], ws)), told, told_pairs
+
+
+@pytest.mark.parametrize("significant", [0.0, 6.0])
+def test_gains_equal_kneser_ney_by_hand(spark, significant):
+    docs, labels = toxic_tables(spark, 120)
+    model = toxicity.train(docs, labels, significant)
+    train = [(r["text"], r["toxic"]) for r in toxicity.labelled(docs, labels).where(~toxicity.of_curve()).collect()]
+    by_hand, told, told_pairs = kneser_ney_by_hand(train, significant)
+    assert told and told_pairs and len({y for _, y in train}) == 2
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()} | {-1: "never seen words", -2: "grob " * 30}
+    more = spark.createDataFrame([(k, v) for k, v in texts.items() if k is not None], "doc_id bigint, text string")
+    for r in toxicity.gains(more, model).collect():
+        if significant > 0 or all(w in told for w in re.findall(r"[^\W_]+", texts[r["doc_id"]].lower())):
+            assert abs(r["gain"] - by_hand(texts[r["doc_id"]])) < 1e-9, r
+
+
+def test_copies_tell_nothing(spark):
+    r = random.Random(3)
+    texts = [(i, words(r, "aa", 40), 0) for i in range(200)] + [(1000 + i, "quax brill onward " + "zed " * 5 + str(i), 1) for i in range(100)] + [(3000 + i, words(r, "aa", 40) + " grob " + words(r, "aa", 9), 1) for i in range(100)]
+    docs, labels = spark.createDataFrame([t[:2] for t in texts], "doc_id bigint, text string"), spark.createDataFrame([(i, 1, y) for i, _, y in texts], "doc_id bigint, quality int, toxic int")
+    got = {x["word"] for x in toxicity.train(docs, labels).where("before is null").collect()}
+    assert "grob" in got and "brill" not in got and "quax" not in got
+
+
+def test_very_long_text_scores_as_its_words(spark):
+    docs, labels = toxic_tables(spark, 200)
+    model = toxicity.train(docs, labels)
+    long = spark.createDataFrame([(1, "ka lo grob mi " * 100_000), (2, "x" * 300_000)], "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in toxicity.score(long, model, 10.0, -2.0).collect()}
+    assert got[1]["predicted"] == 1 and 0 <= got[2]["score"] <= 1
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = toxic_tables(spark, 200)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
