@@ -14,7 +14,7 @@ Kneser-Ney pair. Its chance differences drown few telling words among many neutr
 figures), hence the rule.
 
 Copies must not make an expression telling: the ratio counts each class's occurrences at most once for
-each different word FAR places before.
+each different word before the expression.
 
 As S cancels in the ratio of the models for all but telling words, the table of gains (log of toxic over
 ordinary probability) is small. It is broadcast below a checked number of bytes; beyond it texts are
@@ -38,8 +38,6 @@ DISCOUNT = 0.75
 SIGNIFICANT = 19.5
 #: Counts too small for that statistic's distribution to hold; rarer pairs aren't telling.
 LEAST_COUNT = 3
-#: How far before an expression the word is that tells its places from copies of one place.
-FAR = 2
 #: Training texts that the logistic curve is fitted on at most, and the share left out of the counts for it.
 CURVE_ROWS = 6000
 CURVE_SHARE = 5
@@ -71,11 +69,11 @@ def _words() -> Column:
 
 
 def _pairs(texts: DataFrame) -> DataFrame:
-    """(far, before, word, toxic), one row for each word; what is before a text's start is empty."""
-    blank = lambda n: F.array(*[F.lit("")] * n)
+    """(earlier, before, word, toxic), one row for each word; what is before a text's start is empty."""
+    none = F.array(F.lit(""))
     rows = texts.select("toxic", _words().alias("w"))
-    zipped = F.arrays_zip(F.concat(blank(FAR), "w").alias("far"), F.concat(blank(1), "w").alias("before"), F.col("w").alias("word"))
-    return rows.select("toxic", F.explode(zipped)).select("toxic", "col.far", "col.before", "col.word").where("word is not null")
+    zipped = F.arrays_zip(F.concat(none, none, "w").alias("earlier"), F.concat(none, "w").alias("before"), F.col("w").alias("word"))
+    return rows.select("toxic", F.explode(zipped)).select("toxic", "col.earlier", "col.before", "col.word").where("word is not null")
 
 
 def _ratio(a: Column, b: Column, n: Column, m: Column) -> Column:
@@ -106,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, significant: float = SIGNIFICANT,
     toxic, plain = F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     rows = _pairs(texts)
     counts = stash(rows.groupBy("before", "word").agg(toxic, plain), "toxicity-pairs")
-    words = stash(counts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("contexts")), "toxicity-words")
+    words = stash(counts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("contexts"), F.count_if(F.col("a") > 0).alias("ca"), F.count_if(F.col("b") > 0).alias("cb")), "toxicity-words")
     total = words.agg(F.sum("a").alias("n"), F.sum("b").alias("m"), F.sum("contexts").alias("c"), F.count("*").alias("v")).first()
     if not total["n"] or not total["m"]:
         return docs.sparkSession.createDataFrame([], _SCHEMA)
@@ -119,15 +117,15 @@ def train(docs: DataFrame, labels: DataFrame, significant: float = SIGNIFICANT,
         some = stash(words, "toxicity-some")
         pairs = stash(counts.join(heads, "before"), "toxicity-some-pairs")
     else:
-        some = stash(words.where(_ratio(F.col("a"), F.col("b"), n, m) >= significant), "toxicity-some")
-        pairs = stash(counts.where(enough).join(heads.where(of_pairs), "before").where(_ratio(F.col("a"), F.col("b"), size("n"), size("m")) >= significant), "toxicity-some-pairs")
-        # Second reading: the different places of those, in each class.
-        places = [F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o")]
-        at = [F.sum("t").alias("ca"), F.sum("o").alias("cb")]
-        of_words = rows.join(bounded(some.select("word")), "word").groupBy("word", "far").agg(*places).groupBy("word").agg(*at)
-        some = stash(some.join(of_words, "word").where(_ratio(F.least("a", "ca"), F.least("b", "cb"), n, m) >= significant), "toxicity-telling")
-        both = rows.join(bounded(pairs.select("before", "word")), ["before", "word"]).groupBy("before", "word", "far").agg(*places).groupBy("before", "word").agg(*at)
-        pairs = pairs.join(both, ["before", "word"]).where(_ratio(F.least("a", "ca"), F.least("b", "cb"), size("n"), size("m")) >= significant)
+        often = lambda n, m: (_ratio(F.col("a"), F.col("b"), n, m) >= significant)
+        apart = lambda n, m: (_ratio(F.least("a", "ca"), F.least("b", "cb"), n, m) >= significant)
+        some = stash(words.where(often(n, m) & apart(n, m)), "toxicity-some")
+        pairs = counts.where(enough).join(heads.where(of_pairs), "before").where(often(size("n"), size("m")))
+        pairs = stash(pairs, "toxicity-some-pairs")
+        # Second reading: the different words before those, in each class.
+        places = rows.join(bounded(pairs.select("before", "word")), ["before", "word"]).groupBy("before", "word", "earlier").agg(F.max("toxic").alias("t"), F.max(1 - F.col("toxic")).alias("o"))
+        places = places.groupBy("before", "word").agg(F.sum("t").alias("ca"), F.sum("o").alias("cb"))
+        pairs = pairs.join(places, ["before", "word"]).where(apart(size("n"), size("m")))
         pairs = stash(pairs.where((F.least("a", "ca") >= least_count) | (F.least("b", "cb") >= least_count)), "toxicity-telling-pairs")
     took = some.agg(F.coalesce(F.sum(_kept("a")), F.lit(0.0)).alias("a"), F.coalesce(F.sum(_kept("b")), F.lit(0.0)).alias("b")).first()
     left_t, left_o = F.lit(1 - took["a"] / total["n"]), F.lit(1 - took["b"] / total["m"])
