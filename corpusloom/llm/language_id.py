@@ -6,31 +6,32 @@ they share over the root of the product of their set sizes. Landmark texts give
 approximation; one-versus-rest ridge regression is solved in its space. Its dual weights times the
 landmarks' sets are one matrix, so a batch of texts is scored by one matrix product.
 
-N-grams are held by a 18-bit hash, so the model has the same size for any corpus.
+N-grams are held by a 24-bit hash, so the model has the same size for any corpus.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map
+from .common import arrow_map, bounded, stash
 
-#: Bounds of the labelled sample that the classifier is fitted on, landmarks included.
+#: Bounds of the labelled sample that the classifier is fitted on, landmarks included. Each language has an
+#: equal part, one text at least, so beyond so many languages there are as many rows.
 TRAIN_ROWS = 2400
 LANDMARKS = 240
 RIDGE = 1e-3
 ORDERS = 4
-BITS = 18
+BITS = 24
 
 UNDETERMINED = "und"
 _SPACE = np.array([32], np.uint32)
 _STEP, _SPREAD, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(32 - BITS)
-_LETTER = re.compile(r"[^\W\d_]")
 _table: list[np.ndarray] = []
 
 
@@ -46,11 +47,11 @@ def _letters() -> np.ndarray:
 def ngram_ids(text: str) -> np.ndarray:
     """Hashes of all n-grams of a text, repeats included."""
     cps = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    cps = np.where(_letters()[cps], cps, np.uint32(32))
+    cps = np.concatenate([_SPACE, np.where(_letters()[cps], cps, np.uint32(32)), _SPACE])
     space = cps == 32
     keep = np.ones(len(cps), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    c = np.concatenate([_SPACE, cps[keep], _SPACE])
+    c = cps[keep]
     out, h = np.empty(ORDERS * len(c), np.uint32), np.uint32(0)
     at = 0
     for n in range(1, min(ORDERS, len(c)) + 1):
@@ -76,9 +77,9 @@ class Kernel:
             part = texts[start : start + 64]
             rows, size = np.empty((len(part), len(self.ids)), bool), np.empty((len(part), 1), np.float32)
             for i, t in enumerate(part):
-                ids = ngram_ids(t)
+                ids = np.sort(ngram_ids(t))
                 seen[ids] = True
-                rows[i], size[i] = seen[self.ids], np.count_nonzero(seen)
+                rows[i], size[i] = seen[self.ids], 1 + np.count_nonzero(ids[1:] != ids[:-1])
                 seen[ids] = False
             out[start : start + 64] = rows.astype(np.float32) @ self.weights / np.sqrt(np.maximum(size, 1))
         return out
@@ -89,7 +90,7 @@ class Kernel:
         Null texts, those without a letter, and all if nothing was learned: und with score 0.
         """
         langs, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.languages else []
         if not at:
             return langs, score
         values = np.clip(self.scores([texts[i] for i in at]), 1e-6, None)
@@ -100,7 +101,7 @@ class Kernel:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
-    """The kernel ridge classifier of a bounded labelled sample, on the driver."""
+    """The kernel ridge classifier of a bounded labelled sample, on the driver; each language has a landmark."""
     names = sorted(set(langs))
     if not names:
         return Kernel([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
@@ -109,7 +110,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     turn = np.zeros(len(y))  # each language gives landmarks in turn
     for c in range(len(names)):
         turn[y == c] = np.arange((y == c).sum())
-    chosen = np.argsort(turn, kind="stable")[:landmarks]
+    chosen = np.argsort(turn, kind="stable")[: max(landmarks, len(names))]
     ids = np.unique(np.concatenate([sets[i] for i in chosen]))
     place = np.full(1 << BITS, -1, np.int64)
     place[ids] = np.arange(len(ids))
@@ -148,33 +149,37 @@ def held_out():
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Kernel:
     """Fit on at most some rows for each language, chosen by a hash; rows is the bound for all together."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
-        return fit([], [])
-    quota = max(1, rows // len(counts))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * quota / n)) + 1))
-    sample = known.where(keep).select("doc_id", "lang", "text").limit(2 * rows).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["text"]))
-    got: dict[str, int] = {}
-    kept = [r for r in sample if got.setdefault(r["lang"], 0) < quota and not got.update({r["lang"]: got[r["lang"]] + 1})]
+    counts = stash(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    quota = max(1, rows // max(1, counts.count()))
+    chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    # Thinned to a little more than the quota before rows of a language are put in order.
+    thin = known.select("doc_id", "lang", "text", chance.alias("chance")).join(bounded(counts), "lang").where(F.col("chance") * F.col("n") <= 1.5 * quota + 20)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id", "text"))
+    kept = thin.withColumn("place", place).where(F.col("place") <= quota).select("doc_id", "lang", "text").collect()
+    kept.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in kept], [r["lang"] for r in kept])
 
 
-def identify(docs: DataFrame, model: Kernel, keep: list[str] | None = None) -> DataFrame:
-    """docs' doc_id (or the columns keep) with held_out, lang_pred and score of every whole text.
+def annotate(docs: DataFrame, model: Kernel, name: str) -> DataFrame:
+    """docs, all columns, with a struct of that name more: lang_pred and score of every whole text.
 
     A null text or one without a letter is und with score 0. Each row is scored alone: repeated rows
-    get equal results, an empty table an empty one, other columns are never read.
+    get equal results, an empty table an empty one.
     """
-    keep = keep or ["doc_id"]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), held_out().alias("__held"))
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batch):
-        langs, score = shared.value.predict(batch.column(len(keep)).to_pylist())
-        return dict(zip(keep, batch.columns, strict=False)) | {"held_out": batch.column(len(keep) + 1), "lang_pred": langs, "score": score}
+        langs, score = shared.value.predict(batch.column(at).to_pylist())
+        found = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        return dict(zip(batch.schema.names, batch.columns, strict=True)) | {name: found}
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_map(base, run, kinds + ", held_out boolean, lang_pred string, score double")
+    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField(name, StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))]))
+
+
+def identify(docs: DataFrame, model: Kernel) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every whole text, as annotate() has them; other columns are not read."""
+    found = annotate(docs.select("doc_id", "text"), model, "found")
+    return found.select("doc_id", held_out().alias("held_out"), "found.lang_pred", "found.score")
