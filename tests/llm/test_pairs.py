@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from corpusloom.llm import decontamination, fingerprints, near_dedup
@@ -114,7 +115,7 @@ def brute_contamination(docs, items):
         w = pattern.findall((t or "").translate(AZ))
         k = min(13, len(w))
         for p in range(len(w) - k + 1 if w else 0):
-            windows[tuple(w[p : p + k])].add(str(i))
+            windows[tuple(w[p : p + k])].update([] if i is None else [str(i)])
     out = {}
     for i, t in docs:
         w = pattern.findall((t or "").translate(AZ))
@@ -140,20 +141,33 @@ def test_contamination_equals_brute_force(spark):
     frame = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, n_words int").repartition(3)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_contamination(docs, [(i, t) for i, t in items])
-    for limit in (decontamination.ITEM_WORDS, 0):  # broadcast and joined
+    for limit in (decontamination.ITEM_BYTES, 0):  # broadcast and joined
         got = decontamination.contamination(frame, bench, limit).collect()
-        fix = lambda x: sorted("None" if i is None else i for i in x)
-        if limit:
-            assert {x["doc_id"]: (x["n_words"], x["n_hit"], fix(x["item_ids"]), x["contaminated"]) for x in got} == want
-        else:
-            known = {i: (a, b, [x for x in c if x != "None"], d) for i, (a, b, c, d) in want.items()}
-            assert {x["doc_id"]: (x["n_words"], x["n_hit"], [i for i in x["item_ids"] if i not in (None, "None")], x["contaminated"]) for x in got} == known
+        assert {x["doc_id"]: (x["n_words"], x["n_hit"], x["item_ids"], x["contaminated"]) for x in got} == want
     d = decontamination.digests(decontamination.contamination(frame, bench)).where("doc_id = 2").first()
     assert d["items_sha256"] == decontamination.sha256_of(["53", "54"]) and d["n_items"] == 2 and d["contaminated"]
     assert decontamination.contamination(frame.limit(0), bench).count() == 0
     assert decontamination.contamination(frame, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_repetitive_texts_take_linear_time():
+    took = []
+    for n in (20_000, 80_000):
+        items = decontamination.Items([(i, "ba " * n) for i in range(3)])
+        began = time.time()
+        hit, which = items.hits(decontamination.words_of("ba " * 2 * n + "x"))
+        took.append(time.time() - began)
+        assert hit.sum() == 2 * n and which == {"0", "1", "2"}
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_one_word_of_any_size_is_a_long_text(spark):
+    docs, items = spark.createDataFrame([(1, "é" * 300_000), (2, "x")], "doc_id bigint, text string"), spark.createDataFrame([(1, "é" * 300_000)], "item_id bigint, text string")
+    for limit in (decontamination.ITEM_BYTES, 1000):
+        got = {r["doc_id"]: r for r in decontamination.contamination(docs, items, limit).collect()}
+        assert got[1]["n_hit"] == got[1]["n_words"] == 1 and got[1]["item_ids"] == ["1"] and not got[2]["contaminated"]
+
+
 def test_fingerprints(spark):
     r = random.Random(9)
     rows = [(i, text(r, r.choice([0, 1, 4, 30, 400]))) for i in r.sample(range(10_000), 120)] + [(20_000, None)]
