@@ -25,13 +25,12 @@ STEPS = 160
 _END = re.compile(r"[.!?…:;\"'»”)]$")
 
 
-def features(chain: list[Block]) -> list[list[str]]:
-    """Names of each block's binary features."""
+def own_features(chain: list[Block]) -> list[list[str]]:
+    """Names of each block's binary features, those of its ancestors aside."""
     out = []
     for i, b in enumerate(chain):
         n, words = len(b.text), b.text.count(" ") + 1
-        f = ["1", f"tag={b.tags[-1] if b.tags else ''}", f"long={min(6, words.bit_length())}", f"linked={min(4, int(4 * b.linked / n))}"]
-        f += {f"in={t}" for t in b.tags} | {f"name={x}" for x in b.names}
+        f = ["1", f"tag={b.node.tag if b.node else ''}", f"long={min(6, words.bit_length())}", f"linked={min(4, int(4 * b.linked / n))}"]
         f.append("end" if _END.search(b.text) else "no end")
         if "©" in b.text:
             f.append("(c)")
@@ -39,11 +38,23 @@ def features(chain: list[Block]) -> list[list[str]]:
             f.append("first")
         if i == len(chain) - 1:
             f.append("last")
-        f += [f"before={t}" for t in chain[i - 1].tags[-1:]] if i else []
+        if i and chain[i - 1].node:
+            f.append(f"before={chain[i - 1].node.tag}")
         out.append(f)
     return out
 
 
+def features(chain: list[Block]) -> list[list[str]]:
+    """Names of all of each block's features, for training: its ancestors' tags and names each once."""
+    out = own_features(chain)
+    for f, b in zip(out, chain, strict=True):
+        node = b.node
+        while node:
+            f += node.fresh
+            node = node.parent
+    return out
+
+
 @dataclass
 class Field:
     """Weights of features (by label), of neighbouring labels and of the first label."""
@@ -53,12 +64,40 @@ class Field:
     move: np.ndarray
     first: np.ndarray
 
+    def scores(self, chain: list[Block]) -> list[tuple[float, float]]:
+        """Each block's score of either label. What an element adds to its ancestors is looked up once for all its blocks."""
+        index, pairs = self.index, self.pairs()
+        of_node: dict[int, tuple[float, float]] = {}
+
+        def total(names, x: float, y: float) -> tuple[float, float]:
+            for name in names:
+                if (i := index.get(name)) is not None:
+                    x, y = x + pairs[i][0], y + pairs[i][1]
+            return x, y
+
+        out = []
+        for f, b in zip(own_features(chain), chain, strict=True):
+            path, node = [], b.node
+            while node and id(node) not in of_node:
+                path.append(node)
+                node = node.parent
+            score = of_node[id(node)] if node else (0.0, 0.0)
+            for n in reversed(path):
+                score = of_node[id(n)] = total(n.fresh, *score)
+            out.append(total(f, *score))
+        return out
+
+    def pairs(self) -> list[list[float]]:
+        """The weights as plain numbers."""
+        if not hasattr(self, "_pairs"):
+            self._pairs = self.weight.tolist()
+        return self._pairs
+
     def decode(self, chain: list[Block]) -> list[bool]:
         """The likeliest labels of a page's blocks."""
         if not chain:
             return []
-        index, w = self.index, self.weight
-        scores = [w[[index[x] for x in f if x in index]].sum(axis=0).tolist() for f in features(chain)]
+        scores = self.scores(chain)
         (m00, m01), (m10, m11) = self.move.tolist()
         a, b = float(self.first[0]) + scores[0][0], float(self.first[1]) + scores[0][1]
         back = []

@@ -93,7 +93,7 @@ class Grammar:
 
     def article(self) -> str:
         r = self.r
-        out = [self.leaf("h1", self.words(2, 12) if r.random() < 0.8 else self.sentences(1, 2), True)] if r.random() < 0.9 else []
+        out = [self.leaf("h1", self.words(2, 12) if r.random() < 0.8 else self.sentences(1, 2), True)] if r.random() < 0.8 else []
         for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 6, 8, 12])):
             x = r.random()
             if x < 0.72:
@@ -101,7 +101,8 @@ class Grammar:
             elif x < 0.8:
                 out.append(self.leaf("h2", self.words(1, 8), True))
             elif x < 0.87:
-                out.append("<ul>" + "".join(self.leaf("li", self.words(1, 12), True) for _ in range(r.randint(1, 5))) + "</ul>")
+                items = "".join(self.leaf("li", self.words(1, 12), True) for _ in range(r.randint(1, 5)))
+                out.append(f"<ul>{items}</ul>" if r.random() < 0.6 else f"<ol>{items}</ol>")
             elif x < 0.91:
                 out.append(self.leaf("blockquote", self.sentences(1, 4), True))
             elif x < 0.93:
@@ -114,7 +115,7 @@ class Grammar:
         if r.random() < 0.7:
             inner = f"<article>{inner}</article>" if r.random() < 0.7 else f"<main>{inner}</main>"
         else:
-            inner = self.box("main", ["div"], inner)
+            inner = self.box("main", ["div", "div", "section"], inner)
         return inner if r.random() < 0.7 else f"<main>{inner}</main>" if r.random() < 0.5 else f'<div class="wrapper">{inner}</div>'
 
     def page(self) -> tuple[str, list[bool]]:

@@ -3,6 +3,7 @@
 import corpus_pipeline
 import pytest
 from corpusloom.llm import language_id
+from pyspark.sql import functions as F
 
 LONG = "the cat sat on the mat and looked at the dog which ran over the old bridge to the town "
 
@@ -35,6 +36,24 @@ def test_stages(spark, sf_dir):
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == {tuple(r) for r in final.collect()}
 
 
+def test_decisions_are_about_rows(spark, sf_dir):
+    other = "quite another text with words of its own that nobody else has written anywhere so far "
+    third = " ".join(reversed(other.split()))
+    rows = [(1, LONG, "x", 1), (2, LONG, "x", 1), (2, other, "x", 1), (2, other, "x", 1), (None, third, "y", 1), (None, third, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_no string, score bigint").withColumn("n_chars", F.length("text").cast("bigint"))
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("language_found", F.lit(1)).withColumn("held_out", F.lit(1)).withColumn("values_found", F.lit(1))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in stages["near_duplicates"](spark, docs, sf_dir).collect())
+    assert kept == sorted([(1, LONG), (2, other), (0, third)])
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    docs = docs.union(spark.createDataFrame([(None, item, "x", 1, 80, "en", 1, 1, 1), (1, item, "x", 1, 80, "en", 1, 1, 1)], docs.schema))
+    for name in ("language", "decontamination", "private_data"):
+        got = stages[name](spark, docs, sf_dir)
+        assert got.columns == docs.columns
+        texts = [r["text"] for r in got.collect()]
+        assert (item in texts) == (name != "decontamination") and sum(t != item for t in texts) == len(rows)
+
+
 def test_empty_table(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
