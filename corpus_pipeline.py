@@ -1,8 +1,8 @@
 """A training-data pipeline over `documents`, one stage for each decision about a document.
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before kept, and returns a DataFrame.
-All but the last return the columns of docs. Null ids never match a decision made by id, so rows
-without an id are kept by the stages that decide by id.
+All but the last return the columns of docs. Decisions are about rows, which have a number of their own
+within a stage: rows with equal or null ids are judged one by one, and columns of any name may go along.
 """
 
 from __future__ import annotations
@@ -14,37 +14,56 @@ from corpusloom.llm import decontamination, language_id, near_dedup, pii, senten
 from corpusloom.llm.common import bounded, stash, table
 from corpusloom.llm.vocab import tokenizer_path
 
-#: Documents whose language is undetermined or scores less are rejected.
-MIN_LANGUAGE_SCORE = 0.3
+#: Documents are rejected if their language is undetermined or scores less than so many even shares.
+MIN_LANGUAGE_SHARES = 1.2
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without those ids, which are broadcast only if they are few."""
-    ids = stash(ids.select("doc_id").distinct(), "rejected")
-    return docs.join(bounded(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+def _unused(docs: DataFrame, name: str) -> str:
+    """That name, or the first with a number that docs has no column of (names differ by more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if n not in taken)
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs at rest with a number for each row, and the name of its column."""
+    row = _unused(docs, "row_no")
+    return stash(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """rows without those of the given numbers, which are broadcast only if they are few; without the number."""
+    return rows.join(bounded(stash(gone.select(F.col(gone.columns[0]).alias(row)), "rejected")), row, "left_anti").drop(row)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that can be told."""
-    known = language_id.identify(docs, language_id.learn(docs), keep=docs.columns)
-    kept = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return known.where(kept).select(*docs.columns)
+    model, found = language_id.learn(docs), _unused(docs, "language_found")
+    known = language_id.annotate(docs, model, found)
+    least = MIN_LANGUAGE_SHARES / max(2, len(model.languages))
+    kept = (F.col(found)["lang_pred"] != language_id.UNDETERMINED) & (F.col(found)["score"] >= least)
+    return known.where(kept).drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates."""
-    return _without(docs, near_dedup.near_duplicates(docs, k=4, percent=80).where(~F.col("kept")))
+    """Keep one row of each group of near duplicates, that of the least doc_id, and of equal ids the first."""
+    rows, row = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = near_dedup.near_duplicates(rows.select(key.alias("doc_id"), "text"), k=4, percent=80)
+    return _without(rows, row, found.where(~F.col("kept")).select("doc_id.row")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold much of the benchmark."""
-    return _without(docs, decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    rows, row = _numbered(docs)
+    found = decontamination.contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _without(rows, row, found.where("contaminated").select("doc_id")).select(*docs.columns)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put pseudonyms in place of personal data; n_chars follows the new text."""
-    new = pii.pseudonymize(docs, count="n_values_found").withColumn("n_chars", F.when(F.col("n_values_found") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+    count = _unused(docs, "values_found")
+    new = pii.pseudonymize(docs, pii.session_key(spark), count=count)
+    return new.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

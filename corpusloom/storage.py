@@ -9,16 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests within one JVM, a new local folder."""
+    """spark.checkpoint.dir. Where it is unset, a new local folder, if all runs in one JVM; else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/loom/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    Tables lie in a folder of the application, which may be deleted when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
