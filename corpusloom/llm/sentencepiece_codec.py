@@ -27,6 +27,8 @@ from .vocab import BYTE, NORMAL, SPACE, UNUSED, USER, pieces
 
 #: Words that a worker memoizes; beyond it new words are encoded each time.
 MEMO_WORDS = 700_000
+#: Longer words, such as encoded files, are worked through each time, so that the memo is bounded in bytes.
+MEMO_CHARS = 40
 
 
 def _merged(text: str, score: dict[str, float]) -> tuple[list[str], tuple[str, str] | None]:
@@ -171,7 +173,7 @@ class _Memo(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.table.ids(self.prefix + word)
         made = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < MEMO_WORDS:
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
             self[word] = made
         return made
 

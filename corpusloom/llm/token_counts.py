@@ -22,6 +22,8 @@ from .vocab import BYTE, NORMAL, SPACE, pieces
 
 #: Words that a worker memoizes; beyond it new words are counted each time.
 MEMO_WORDS = 700_000
+#: Longer words, such as encoded files, are worked through each time, so that the memo is bounded in bytes.
+MEMO_CHARS = 40
 
 #: The unigram model's penalty of unknown characters. Fixed value.
 UNKNOWN_PENALTY = 10.0
@@ -43,7 +45,7 @@ class UnigramCounter(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.count(SPACE + word)
-        if len(self) < MEMO_WORDS:
+        if len(self) < MEMO_WORDS and len(word) <= MEMO_CHARS:
             self[word] = n
         return n
 

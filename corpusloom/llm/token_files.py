@@ -16,10 +16,13 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +38,27 @@ SAMPLE_ROWS = 1500
 DICTIONARY_BYTES = 64 * 1024
 BLOCK_BYTES = 1 << 20
 LEVEL = 3
-#: Words whose ids a worker memoizes.
+#: Words, and parts of words, whose ids a worker memoizes.
 MEMO_WORDS = 700_000
 
+#: Longer words, such as encoded files, are encoded each time.
+MEMO_CHARS = 40
+
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space for str.split(), not for the tokenizer
+#: Marks that a tokenizer which parts letters from marks parts from a word they begin or end.
+_MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{}~'
+#: What a tokenizer must encode alike whole and by words, to be used by words.
+_PROBES = ("Don't say 'that' (again), U.S.-made x_1... \u00e9t\u00e9 e\u0301a\u0300 12,34.5% \u03a3\u0391\u03a3 #tag @you a--b \"Quoted!\"\n\ttabs  two\u00a0nbsp\u3000wide 'S 's x'LL \u65e5\u672c\u8a9e\u3002 \U0001f600!? (a)b [c] {d}e `f` ~g~ A.B.C. ...", "l'\u00e9t\u00e9; \u00bfqu\u00e9? na\u00efve co-op \u201cquoted\u201d\u2019s \ufb01ne \u0130I \u1e9e\u00df")
 
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them; words are memoized.
 
-    Only for tokenizers that drop white space and never join what it parts: then the ids of a text
-    are its words' ids, one after another.
+    A text's ids are its words' ids, one after another, for tokenizers that drop white space and never
+    join what it parts; a word's are those of its marks and of what is between. Whether a file's
+    tokenizer is of that kind is asked when it is loaded: added tokens without white space, neither
+    truncation nor padding, and equal ids for texts that join what could be joined. If it isn't, texts are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -54,27 +67,55 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.kind = "H" if self.width == 2 else "I"
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.within_added = {c for t in added for c in t if c not in _MARKS and not c.isalnum()}
+        self.by_words = self.library.truncation is None and self.library.padding is None and not any(c.isspace() for t in added for c in t)
+        self.by_words = self.by_words and all(self._by_words([t]) == self._ids([t]) for p in _PROBES for t in (p, *p.split()))
+        self.memo.clear()
+        self.parts = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
-        """Serialized ids of each text, with the end id appended; null is empty."""
-        tail = b"" if end is None else np.array([end], f"<u{self.width}").tobytes()
+        return [array(self.kind, e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words: a word that begins or ends with marks is put together from them and the rest."""
+        apart, whole = {}, []
+        for w in words:
+            base = w.strip(_MARKS)
+            ends = base if base.isascii() else unicodedata.normalize("NFC", base).lower()
+            if base == w or not base or "\u03a3" in w or not ends[0].isalnum() or not ends[-1].isalnum() or any(c in w for c in self.within_added):
+                whole.append(w)
+            else:
+                i = w.index(base)
+                apart[w] = (w[:i], base, w[i + len(base) :])
+        parts = self.parts
+        need = list({x for k in apart.values() for x in k if x not in parts} | {w for w in whole if w not in parts})
+        got = dict(zip(need, self._ids(need), strict=True)) if need else {}
+        if len(parts) + len(got) <= MEMO_WORDS:
+            parts.update({w: b for w, b in got.items() if len(w) <= MEMO_CHARS})
+        find = _Both(parts, got)
+        out = {w: find[w] for w in whole}
+        out |= {w: find[a] + find[b] + find[c] for w, (a, b, c) in apart.items()}
+        return out
+
+    def _by_words(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").split() if not t or not _ODD_SPACE.search(t) else None for t in texts]
         memo = self.memo
-        new = list({w for ws in words if ws for w in ws if w not in memo})
-        got = dict(zip(new, self._ids(new), strict=True)) if new else {}
+        new = [w for w in set(chain.from_iterable(ws for ws in words if ws)) if w not in memo]
+        got = self._new(new) if new else {}
         if len(memo) + len(got) <= MEMO_WORDS:
-            memo.update(got)
-            get = memo.__getitem__
-        else:
-            both = _Both(memo, got)
-            get = both.__getitem__
+            memo.update({w: b for w, b in got.items() if len(w) <= MEMO_CHARS})
+        get = _Both(memo, got).__getitem__ if got else memo.__getitem__
         whole = iter(self._ids([t for t, ws in zip(texts, words, strict=True) if ws is None]))
-        return [(next(whole) if ws is None else b"".join(map(get, ws))) + tail for ws in words]
+        return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in words]
+
+    def encode(self, texts: list[str | None], end: int | None) -> list[bytes]:
+        """Serialized ids of each text, with the end id appended; null is empty."""
+        tail = b"" if end is None else array(self.kind, [end]).tobytes()
+        return [ids + tail for ids in (self._by_words(texts) if self.by_words else self._ids([t or "" for t in texts]))]
 
 
 class _Both(dict):

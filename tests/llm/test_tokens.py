@@ -101,3 +101,43 @@ def test_token_files_edges(spark, tmp_path):
 def test_runs_of_spaces(n):
     c = sentencepiece_codec.Codec(PIECES)
     assert sum(c.table.run_lengths(n)) == n
+
+
+def test_encoder_by_words_equals_library():
+    r = random.Random(9)
+    e = token_files.Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert e.by_words
+    bits = ["don't", "'s", "S", "x", "é", "é", "Σ", "ΑΣ", "12", ".", ",", "(", ")", '"', "-", "_", "<|endoftext|>", "<|", "|>", "日本", "İ", "ß", " ", "​", " ", "  ", "\n", "\x1c", "\x85", "﻿", "`", "$"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the memo
+        assert e.encode(texts, None) == e._ids(texts)
+    long = ["ab" * 50_000, "word, " * 50_000, "=" * 100_000]
+    assert e.encode(long, None) == e._ids(long) and all(len(w) <= token_files.MEMO_CHARS for w in e.memo)
+
+
+def test_encoder_falls_back_to_whole_texts(tmp_path):
+    import json
+
+    file = json.load(open(tokenizer_path("word_bpe_49k.json")))
+    file["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
+    file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\s*\p{L}+\s*\p{P}"
+    (tmp_path / "t.json").write_text(json.dumps(file))
+    e = token_files.Encoder(str(tmp_path / "t.json"))
+    texts = ["one two, three", "a b", None, ""]
+    assert not e.by_words and e.encode(texts, None) == e._ids([t or "" for t in texts])
+
+
+def test_long_words_are_not_memoized(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    c, d = sentencepiece_codec.Codec(path), token_counts.counter(path)
+    for text in ("ab" * 20_000 + " x " + "ab" * 20_000, "a b " * 50_000):
+        ids = list(struct.unpack(f"<{len(c.encode(text)) // 4}i", c.encode(text)))
+        assert ids == [c.library.bos_id(), *c.library.encode(text), c.library.eos_id()] and d.tokens(text) > 0
+    assert max(map(len, [*c.after_space, *c.bare, *d])) <= token_counts.MEMO_CHARS
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7, b"x"), (2, None, None, None, None, None)], "doc_id bigint, text string, n_tokens int, start int, ids int, frame binary")
+    assert [r["doc_id"] for r in token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model")).orderBy("doc_id").collect()] == [1, 2]
+    got = token_files.write_and_read(docs, tokenizer_path("word_bpe_49k.json")).orderBy("doc_id").collect()
+    assert [(r["start"], r["n_tokens"]) for r in got] == [(0, 3), (3, 1)]
