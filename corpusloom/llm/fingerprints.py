@@ -1,11 +1,14 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A fingerprint keeps every shingle hash below 1 / SCALE of the hash range. The union of two documents'
-fingerprints is the fingerprint of their union, and since the same shingles are kept everywhere, the
-share of kept hashes of a short document that a long one also has estimates its containment.
+A fingerprint keeps every shingle hash below 1 / SCALE of the hash range, and of a document with fewer
+than FLOOR such hashes its FLOOR least ones, so that short documents keep all. Both can be told from the
+fingerprints alone when documents are united, so fingerprints are mergeable. How far up a fingerprint
+has every hash is its reach; two fingerprints are compared up to the lesser reach: the share of the one's
+hashes there that the other also has estimates its containment, also for very unequal documents. It is
+exact between documents of at most FLOOR shingles.
 
 As a string: the scale, the number of distinct shingles, a digest of all of them, and the kept hashes,
-sorted, 48 bits each, in base64. The digest tells apart documents too short to keep a hash.
+sorted, 48 bits each, in base64.
 """
 
 from __future__ import annotations
@@ -23,19 +26,32 @@ from .common import mix, settle, shingles
 from .ordering import boundaries, part_of, parts
 
 SCALE = 4
+FLOOR = 64
 SHINGLE = 5
-_BELOW = np.uint64((1 << 64) // SCALE - 1)
-_DROP = np.uint64(14)  # of the 62 bits of a kept hash 48 stay
+_DROP = np.uint64(16)  # of 64 bits, 48 stay
+_WHOLE = (1 << 48) - 1
+_BELOW = _WHOLE // SCALE
+
+
+def _keep(hashes: np.ndarray) -> np.ndarray:
+    """What a fingerprint keeps of sorted distinct hashes."""
+    return hashes[: max(FLOOR, int(np.searchsorted(hashes, np.uint64(_BELOW), "right")))]
+
+
+def _reach(n: int, kept: np.ndarray) -> int:
+    """Up to which hash a fingerprint has all."""
+    return _WHOLE if n <= len(kept) else max(_BELOW, int(kept[-1]))
 
 
 class Sketch:
-    """n distinct shingles, a digest of all, and the kept hashes."""
+    """n distinct shingles, a digest of all, the kept hashes, and how far they reach."""
 
     def __init__(self, text: str):
         s = shingles(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SHINGLE)
         self.n = len(s)
         self.digest = int(mix(np.array([s.sum()], np.uint64))[0]) if len(s) else 0
-        self.kept = np.unique(s[s <= _BELOW] >> _DROP)
+        self.kept = _keep(np.unique(s >> _DROP))
+        self.reach = _reach(self.n, self.kept)
 
     def __str__(self) -> str:
         six = np.ascontiguousarray(self.kept.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -51,19 +67,35 @@ def parse(fingerprint: str) -> tuple[int, int, np.ndarray]:
     return int(n), int(digest, 16), eight.view("<u8").ravel().astype(np.uint64)
 
 
+def merge(parts: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """Kept hashes and reach of the union of documents, from their (n, kept hashes)."""
+    reach = min((_reach(n, kept) for n, kept in parts), default=_WHOLE)
+    both = np.unique(np.concatenate([np.zeros(0, np.uint64), *[kept for _, kept in parts]]))
+    kept = _keep(both[both <= np.uint64(reach)])
+    whole = reach == _WHOLE and len(kept) == len(both)
+    return kept, _WHOLE if whole else max(_BELOW, int(kept[-1]) if len(kept) else 0)
+
+
 def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has too; 0 if a keeps none."""
+    """Share of a's hashes that b has too; 0 if a has none."""
     return float(np.isin(a, b, assume_unique=True).mean()) if len(a) else 0.0
 
 
-def likeness(a: Sketch, b: Sketch) -> float:
-    """The greater containment, so a part is like the whole. 1 for equal sets, empty ones too."""
+def containments(a: Sketch, b: Sketch) -> tuple[float, float]:
+    """Estimated shares of a's shingles in b, and of b's in a. 1 for equal sets, empty ones too.
+
+    0 if no hash of the one lies within the other's reach, as may be for a text of a few shingles and a long one.
+    """
     if (a.n, a.digest) == (b.n, b.digest):
-        return 1.0
-    if not len(a.kept) or not len(b.kept):
-        return 0.0
-    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
-    return both / min(len(a.kept), len(b.kept))
+        return 1.0, 1.0
+    reach = np.uint64(min(a.reach, b.reach))
+    x, y = (s.kept[: np.searchsorted(s.kept, reach, "right")] for s in (a, b))
+    return containment(x, y), containment(y, x)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """The greater containment, so a part is like the whole."""
+    return max(containments(a, b))
 
 
 def edited(text: str, following: str) -> str:
@@ -72,12 +104,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m] if m else text
 
 
-_SCHEMA = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, share_in_edited double, share_of_edited double, share_in_next double, share_of_next double"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for each document: fingerprints of its whole text and of its edited text, and likenesses.
 
+    near_ is the greater of share_in_ (of the text's shingles, those that the other has) and share_of_ (of
+    the other's shingles, those that the text has).
+
     The edited text borrows from the next document in descending doc_id, which after the last is the
     first. Null texts count as empty. Null ids come last; rows with equal ids are ordered by text. An
     empty table gives an empty table; a lone document is its own next.
@@ -129,4 +164,5 @@ def _row(held: tuple, following: str, next_sketch: Sketch) -> tuple:
     other = edited(text, following)
     theirs = Sketch(other) if other != text else sketch
     sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, len(text), sha, str(sketch), str(theirs), likeness(sketch, theirs), likeness(sketch, next_sketch)
+    of_edited, of_next = containments(sketch, theirs), containments(sketch, next_sketch)
+    return doc_id, len(text), sha, str(sketch), str(theirs), max(of_edited), max(of_next), *of_edited, *of_next

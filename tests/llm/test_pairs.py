@@ -180,10 +180,46 @@ def test_fingerprints(spark):
         m = len(t) // 3
         other = t[: len(t) - m] + following[:m]
         x = got[i]
-        a, b, c = fingerprints.Sketch(t), fingerprints.Sketch(other), fingerprints.Sketch(following)
         assert (x["n_chars"], x["edited_sha256"]) == (len(t), hashlib.sha256(other.encode()).hexdigest())
-        assert (x["fingerprint"], x["edited_fingerprint"]) == (str(a), str(b))
-        assert x["near_edited"] == fingerprints.likeness(a, b) and x["near_next"] == fingerprints.likeness(a, c)
+        a, b, c = shingle_set(t), shingle_set(other), shingle_set(following)
+        for name, o in (("edited", b), ("next", c)):
+            shares = [1.0, 1.0] if a == o else [len(a & o) / len(y) if y else 0.0 for y in (a, o)]
+            if len(a) <= fingerprints.FLOOR >= len(o):  # nothing is estimated
+                assert [x[f"share_in_{name}"], x[f"share_of_{name}"]] == shares
+            elif min(len(a), len(o)) > 300:
+                assert abs(x[f"share_in_{name}"] - shares[0]) < 0.2 and abs(x[f"share_of_{name}"] - shares[1]) < 0.2
+            assert x[f"near_{name}"] == max(x[f"share_in_{name}"], x[f"share_of_{name}"])
+        assert (x["fingerprint"] == x["edited_fingerprint"]) == (a == b)
+
+
+def shingle_set(t, k=5):
+    w = t.translate(AZ).split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def test_short_texts_are_like_their_edited_ones(spark):
+    r = random.Random(3)
+    rows = [(i, text(r, 12)) for i in range(50)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(0 < x["near_edited"] <= 1 for x in got)
+
+
+def test_fingerprints_merge():
+    r = random.Random(6)
+    for _ in range(60):
+        texts = [text(r, r.choice([0, 3, 40, 80, 300, 2000])) for _ in range(r.randint(1, 4))]
+        kept, reach = fingerprints.merge([(s.n, s.kept) for s in map(fingerprints.Sketch, texts)])
+        of_each = [fingerprints.shingles(" ".join(t.lower().split()).encode(), 5) >> np.uint64(16) for t in texts]
+        union = np.unique(np.concatenate(of_each))
+        assert (kept == fingerprints._keep(union)).all() and (union[union <= np.uint64(reach)] == kept).all()
+
+
+def test_very_long_text_and_its_part():
+    r = random.Random(7)
+    long = " ".join(f"w{r.randrange(10**9)}" for _ in range(100_000))
+    a, b = fingerprints.Sketch(long), fingerprints.Sketch(" ".join(long.split()[500:1500]))
+    shares = fingerprints.containments(b, a)
+    assert shares[0] == 1.0 and abs(shares[1] - 0.01) < 0.002
 
 
 def test_fingerprint_strings_and_containment():
