@@ -14,9 +14,11 @@ Steps, each a Spark job on keys that texts share:
 4. Verify on the full sets, of each node only the likeliest pair. These links make a forest.
 5. Members of a band that are still unconnected are paired likewise with a member of the band's largest
    component, a few times over.
-6. What then remains outside meets the whole band in blocks: likely pairs are verified there, and each
-   group of two blocks gives only links that connect. So no link between nodes that share a band is
-   lost, only such as join what is joined already.
+6. What then remains outside is joined exactly, with a prefix filter: members are ordered by how rare they
+   are among those sets, and two sets of the similarity asked for share one of the first 11 % of the
+   smaller's members that is also one of the first 20 % of the larger's, and their sizes differ by no more
+   than 20 %. Sets that share a lot, but not enough, differ in these parts and never meet, however many
+   they are. So no link between nodes that share a band is lost, only such as join what is joined already.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ LIMIT = 65534
 SLACK = 0.12
 #: Times that unconnected members of a band are paired with a member of its largest component.
 TURNS = 3
-#: Members of a band that are compared with each other in one block.
-BLOCK = 200
+#: Counters of how frequent members are; a smaller number only makes the order of members less apt.
+COUNTERS = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,49 +200,48 @@ def unconnected(rows: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     return stash(named.join(bands, "key"), "open-bands")
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is unconnected in a band, rows being of unconnected().
+def prefixes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the prefixes of sets of n members: as the smaller of two, and as the larger.
 
-    The members outside the band's largest component meet all of the band. Both are cut into blocks and
-    each two blocks meet in one group, so no group holds more than two blocks, whatever the band's size.
-    A group gives a link only where it connects components, so fewer links than it has members.
+    Two sets of sizes n <= m that are similar share at least share * (n + m) members, share being
+    percent / (100 + percent): 2 n share of the smaller's own, and percent of the larger's.
     """
-    rows = rows.withColumn("outside", F.col("root") != F.col("top"))
-    parts, others = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("rest", "size"))
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    names = ["key", "node", "root", "outside"]
-    left = rows.where("outside").select(*names, F.lit(True).alias("asks"), own(parts).alias("p"), F.explode(F.sequence(F.lit(0), others - 1)).alias("q"))
-    right = rows.select(*names, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"), own(others).alias("q"))
-    met = left.unionByName(right).join(sets, "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        node, root, size = group["node"].to_numpy(), group["root"].to_numpy().copy(), group["n_shingles"].to_numpy().astype(np.float64)
-        outside, asks = (np.asarray(group[c].to_pylist(), bool) for c in ("outside", "asks"))
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        members = [m for c in group["members"].chunks for m in c]
-        sets: dict[int, np.ndarray] = {}
-
-        def members_of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = members[i].values.to_numpy()
-            return sets[i]
-
-        answers, found = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks):
-            # Two members outside the largest component meet twice; the lesser one asks.
-            j = answers[(root[answers] != root[i]) & (~outside[answers] | (node[answers] > node[i]))]
-            if not len(j):
-                continue
-            likeness = _estimates(sketch[i][None], sketch[j], np.full(len(j), size[i]), size[j])
-            for x in j[np.argsort(-likeness, kind="stable")][: int((likeness >= least).sum())]:
-                if root[x] != root[i]:
-                    shared = len(np.intersect1d(members_of(i), members_of(x), assume_unique=True))
-                    if 100 * shared >= percent * (size[i] + size[x] - shared):
-                        found.append((int(node[i]), int(node[x])))
-                        root[root == root[x]] = root[i]
-        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
-
-    return stash(met.groupBy("key", "p", "q").applyInArrow(run, "a bigint, b bigint").distinct(), "late-links")
+    least = -(-2 * percent * n // (100 + percent))
+    return n - least + 1, n - -(-percent * n // 100) + 1
+
+
+def late_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be links of a member outside its band's largest component, rows being of unconnected()."""
+    nodes = rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("outside"))
+    nodes = stash(nodes.join(sets.select("node", "n_shingles", "members"), "node"), "open-sets")
+    bucket = F.pmod(F.col("m"), F.lit(COUNTERS)).cast("int")
+    counts = nodes.select(F.explode("members").alias("m")).groupBy(bucket.alias("at")).agg(F.count("*").alias("n")).collect()  # at most COUNTERS rows
+    frequency = np.zeros(COUNTERS, np.int64)
+    frequency[[r["at"] for r in counts]] = [r["n"] for r in counts]
+    shared = rows.sparkSession.sparkContext.broadcast(frequency)
+
+    def run(batch):
+        first, at = [], []
+        for members in batch.column(4):
+            m = members.values.to_numpy()
+            m = m[np.lexsort((m, shared.value[m & (COUNTERS - 1)]))]
+            k = int(prefixes(np.array(len(m)), percent)[1])
+            first.append(m[:k])
+            at.append(np.arange(k, dtype=np.int32))
+        kept = {name: batch.column(i) for i, name in enumerate(("node", "root", "outside", "n"))}
+        return kept | {"first": pa.array(first, pa.list_(pa.int64())), "at": pa.array(at, pa.list_(pa.int32()))}
+
+    made = arrow_map(nodes.select("node", "root", "outside", F.col("n_shingles").alias("n"), "members"), run, "node bigint, root bigint, outside boolean, n bigint, first array<bigint>, at array<int>")
+    each = stash(made.select("node", "root", "outside", "n", F.explode(F.arrays_zip("first", "at")).alias("x")).select("node", "root", "outside", "n", F.col("x.first").alias("m"), "x.at"), "prefixes")
+    n, share = F.col("n"), 100 + percent
+    small = each.where(F.col("at") < n - F.ceil(2 * percent * n / share) + 1)
+    one, two = (df.select("m", *[F.col(c).alias(c + t) for c in ("node", "root", "outside", "n", "at")]) for df, t in ((small, "1"), (each, "2")))
+    sizes = (F.col("n1") <= F.col("n2")) & (percent * F.col("n2") <= 100 * F.col("n1"))
+    apart = (F.col("root1") != F.col("root2")) & (F.col("outside1") | F.col("outside2"))
+    # What both can share from this member on, if it is the first that they share.
+    room = share * F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) >= percent * (F.col("n1") + F.col("n2"))
+    pairs = one.join(two, "m").where(sizes & apart & room).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    return stash(pairs, "late-pairs")
 
 
 def connected(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,7 +283,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         roots = connected(roots, links)
         still = unconnected(still.select("key", "node"), roots, turn)
-    links = _blocks(still, sets, least, percent)
+    links = verify(late_pairs(still, sets, percent), sets, percent)
     if not links.isEmpty():
         roots = connected(roots, links)
     # By node, so that a set which a third of the documents have is one row; only then by document.

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 from corpusloom.llm import decontamination, fingerprints, near_dedup
+from pyspark.sql import functions as F
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 VOCAB = [a + b for a in "bcdfgklm" for b in ("a", "E", "io", "ü")]
@@ -73,7 +74,7 @@ def test_unconnected_band_members_meet(spark):
     keys = near_dedup.band_keys(sketches)
     roots = spark.createDataFrame([], "node bigint, root bigint")
     sets = near_dedup.member_sets(docs, keys, sketches, 4)
-    links = near_dedup._blocks(near_dedup.unconnected(keys, roots, 0), sets, 0.68, 80).collect()
+    links = near_dedup.verify(near_dedup.late_pairs(near_dedup.unconnected(keys, roots, 0), sets, 80), sets, 80).collect()
     at = {x["doc_id"]: x["node"] for x in sketches.collect()}
     parent = {n: n for n in at.values()}
 
@@ -92,6 +93,40 @@ def test_unconnected_band_members_meet(spark):
     assert len(links) < 30 * 30 and len(want) < 30
 
 
+def late_tables(spark, sets):
+    """One open band of given sets, none connected."""
+    rows = spark.createDataFrame([(1, n, n) for n in sets], "key bigint, node bigint, root bigint").withColumn("top", F.lit(min(sets)).cast("bigint"))
+    return rows, spark.createDataFrame([(n, len(m), sorted(m)) for n, m in sets.items()], "node bigint, n_shingles bigint, members array<bigint>")
+
+
+def test_late_pairs_lose_no_link(spark):
+    r = random.Random(12)
+    base = [r.getrandbits(62) for _ in range(120)]
+    sets = {n: set(r.sample(base, r.randint(1, 120))) | {r.getrandbits(62) for _ in range(r.choice([0, 1, 5, 20]))} for n in range(150)}
+    sets |= {200 + i: set(base[: 100 + i]) for i in range(20)} | {300 + i: set(base) - set(r.sample(base, i)) for i in range(20)}
+    rows, table = late_tables(spark, sets)
+    links = {(x["a"], x["b"]) for x in near_dedup.verify(near_dedup.late_pairs(rows, table, 80), table, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links == want and len(want) > 100
+
+
+def test_near_misses_never_meet(spark):
+    """5,000 texts that share 70 % with each other, all of one band: no pairs, let alone all of them."""
+    r = random.Random(13)
+    common = [r.getrandbits(62) for _ in range(140)]
+    sets = {n: {*common, *(r.getrandbits(62) for _ in range(30))} for n in range(5000)}
+    rows, table = late_tables(spark, sets)
+    assert near_dedup.late_pairs(rows, table, 80).count() == 0
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    r = random.Random(14)
+    long = " ".join(f"w{r.randrange(10**6)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " more words at the end"), (3, " ".join(long.split()[:30_000])), (4, "=" * 200_000)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), k=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "a b c d e"), (9, "x"), (None, None)], "doc_id bigint, text string")
     got = sorted((x["doc_id"] or -1, x["component_id"] or -1, x["kept"]) for x in near_dedup.near_duplicates(docs).collect())
