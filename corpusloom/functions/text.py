@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,10 +126,12 @@ def zwsp_tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "[\\x{200B}\\x{FEFF}]+", -1), lambda t: F.trim(t)), lambda t: t != "")
 
 
-#: What is split from words. Fixed pattern: runs of one same mark, addresses, words with inner marks.
-URL = r"(?:[\w-]+://?|www[.])[^\s()<>]+(?:[\w\d]+|(?:[^\p{P}\s]|/))"
+#: Marks that may stand between the letters of one word. Fixed values.
 INNER = r"[&\-.:=,?@­·‐‑’‧]|['_]+"
-LATIN = rf"(?U){URL}|[^\s\p{{P}}\p{{S}}\p{{Cc}}]+(?:(?:{INNER})[^\s\p{{P}}\p{{S}}\p{{Cc}}]+)*|([\p{{P}}\p{{S}}\p{{Cc}}&&[^\s]])\1*"
+#: A web address from the start of a token on: a scheme with slashes, or www and a point, then characters that
+#: are no white space or brackets, up to the last that is a slash or no punctuation.
+ADDRESS = r"(?<![^\s\p{P}\p{S}])(?i:[a-z][a-z0-9+.-]*:/{1,2}|www\.)[^\s()<>]*(?:[^\s()<>\p{P}]|/)"
+LATIN = rf"(?U){ADDRESS}|[^\s\p{{P}}\p{{S}}\p{{Cc}}]+(?:(?:{INNER})[^\s\p{{P}}\p{{S}}\p{{Cc}}]+)*|([\p{{P}}\p{{S}}\p{{Cc}}&&[^\s]])\1*"
 
 
 def latin_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
@@ -137,43 +141,5 @@ def latin_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
     """
     pattern = LATIN
     if abbreviations:
-        pattern = LATIN.replace("(?U)", "(?U)(?<![^\\s\\p{P}])(?i:" + "|".join(abbreviations) + ")[.]|", 1)
+        pattern = LATIN.replace("(?U)", "(?U)(?<![^\\s\\p{P}])(?i:" + "|".join(re.escape(a) for a in abbreviations) + ")[.]|", 1)
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
-def detokenize(tokens: Column, merge: Column) -> Column:
-    """Join tokens; merge has for each an operation: none, left, right or both.
-
-    No space is put before a token that merges left, or after one that merges right.
-    """
-    size = F.size(tokens)
-
-    def piece(t: Column, i: Column) -> Column:
-        left = F.element_at(merge, i + 1).isin("left", "both")
-        right = F.when(i > 0, F.element_at(merge, F.greatest(i, F.lit(1))).isin("right", "both")).otherwise(F.lit(True))
-        return F.when((i == 0) | left | right, t).otherwise(F.concat(F.lit(" "), t))
-
-    return F.when(size > 0, F.array_join(F.transform(tokens, piece), "")).otherwise("")
-
-
-def latin_merges(tokens: Column) -> Column:
-    """Operations of Latin-script tokens: currency signs and openers merge right, slashes both ways,
-    straight quotation marks right and left in turn, other marks left."""
-
-    def operation(t: Column, i: Column) -> Column:
-        before = F.size(F.filter(F.slice(tokens, F.lit(1), i), lambda x: x == t))
-        quote = t.isin('"', "'")
-        return (
-            F.when(quote & (F.pmod(before, F.lit(2)) == 0), "right")
-            .when(quote, "left")
-            .when(t.rlike(r"^\p{Sc}$") | is_delayed_sentence_start(t) | t.rlike(r"^[\p{Ps}\p{Pi}]$") | t.isin("¿", "¡"), "right")
-            .when(t.isin("/", "\\"), "both")
-            .when(t.rlike(r"^[\p{P}]+$"), "left")
-            .otherwise("none")
-        )
-
-    return F.transform(tokens, operation)
-
-
-def latin_detokenize(tokens: Column) -> Column:
-    return detokenize(tokens, latin_merges(tokens))

@@ -69,3 +69,14 @@ def chrf3_estimates(segments: DataFrame, slope: float, intercept: float, *by: st
 def low_confidence(confidence: Column, least: float = 0.42) -> Column:
     """Whether a book's confidence is too low; one outside 0 to 1 is an error."""
     return F.when(confidence.between(0, 1), confidence < least).otherwise(F.raise_error(F.lit("a confidence must be from 0 to 1")))
+
+
+def suggestion_metrics(rows: DataFrame) -> DataFrame:
+    """One row of (actions, characters, suggestions, accepted, full, initial, final, middle) by segment, added up.
+
+    ksmr: actions over characters that were to be typed; precision: accepted over all suggestions; the
+    shares of accepted suggestions that were whole, or the beginning, end or middle of what was accepted.
+    """
+    sums = rows.agg(*[F.sum(c).alias(c) for c in ("actions", "characters", "suggestions", "accepted", "full", "initial", "final", "middle")])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.select(share("actions", "characters").alias("ksmr"), share("accepted", "suggestions").alias("precision"), *[share(c, "accepted").alias(f"{c}_share") for c in ("full", "initial", "final", "middle")])

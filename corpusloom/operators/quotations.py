@@ -84,3 +84,26 @@ def similarity(counts: DataFrame, *key: str) -> DataFrame:
         return F.struct((s["total"] + above * d["same"]).alias("total"), d["depth"].alias("last"), (above * d["same"] / d["n"]).alias("rate"))
 
     return rows.withColumn("depth", F.col("depth").cast("int")).groupBy(*key, "name").agg((F.aggregate(depths, start, step)["total"] / F.sum("n")).alias("score"))
+
+
+def marks_in_context(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """key, at, mark, before, after: quotation marks with their places from 0 and their neighbours ('' at the ends).
+
+    Double angle brackets are one mark. direction is opening, closing or unclear by white space or the
+    text's ends around a mark, apostrophe if letters are on both sides of a single one.
+    """
+    pieces, found = F.split(F.col(text), MARK, -1), F.regexp_extract_all(F.col(text), F.lit(f"({MARK})"), F.lit(1))
+    rows = texts.select(*key, pieces.alias("p"), F.posexplode(found).alias("k", "mark"), found.alias("all"))
+    # What is before a mark: the pieces and marks up to it.
+    end = lambda s: F.right(s, F.lit(1))
+    before = F.when(F.expr("p[k]") != "", end(F.expr("p[k]"))).when(F.col("k") > 0, end(F.expr("all[k - 1]"))).otherwise("")
+    after = F.when(F.expr("p[k + 1]") != "", F.left(F.expr("p[k + 1]"), F.lit(1))).otherwise(F.coalesce(F.left(F.expr("get(all, k + 1)"), F.lit(1)), F.lit("")))
+    rows = rows.select(*key, "k", "mark", before.alias("before"), after.alias("after"))
+    gap = lambda c: F.col(c).rlike(r"^\s?$")
+    letter = lambda c: F.col(c).rlike(r"^\p{L}$")
+    direction = F.when(letter("before") & letter("after") & F.col("mark").isin("'", "’"), "apostrophe").when(gap("before") & ~gap("after"), "opening").when(~gap("before") & gap("after"), "closing").otherwise("unclear")
+    return rows.withColumn("direction", direction)
+
+
+#: Quotation marks, and pairs of angle brackets that stand for them. Fixed values.
+MARK = "<<|>>|[\"“”„‟'‘’‚‛«»‹›]"

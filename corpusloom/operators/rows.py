@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of hashes that split() counts, as a power of 2.
+SPLIT_BITS = 12
+
+
 def where_nonempty(corpus: DataFrame, *sides: str) -> DataFrame:
     """Rows whose segments (all that are named) have tokens."""
     return corpus.where(reduce(lambda a, b: a & b, [F.coalesce(F.size(s), F.lit(0)) > 0 for s in sides or ("segment",)]))
@@ -31,9 +35,74 @@ def exclude_texts(corpus: DataFrame, ids: DataFrame) -> DataFrame:
     return corpus.join(ids.select("text_id").distinct(), "text_id", "left_anti")
 
 
-def with_index(corpus: DataFrame, order: Sequence[str], within: Sequence[str], name: str = "index") -> DataFrame:
-    """corpus with each row's number, from 0, in its text (or other group)."""
-    return corpus.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+def with_index(corpus: DataFrame, order: Sequence[str], within: Sequence[str], name: str = "index", parts: int = 200) -> DataFrame:
+    """corpus with each row's number, from 0, in its text (or other group).
+
+    If the first column of the order is a number, rows are dealt to ranges of it, so that a large text is
+    no single task: numbers run within ranges, and start at the rows that the ranges before hold.
+    """
+    if corpus.schema[order[0]].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double"):
+        return corpus.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1)
+    cuts = corpus.agg(F.percentile_approx(order[0], [i / parts for i in range(1, parts)], 10 * parts).alias("x")).first()["x"] or []
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(order[0])))
+    rows = corpus.withColumn("__part", F.when(F.col(order[0]).isNull(), -1).otherwise(at))
+    sizes = rows.groupBy(*within, "__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(c).alias(f"__{c}") for c in within], F.col("__part").alias("__at"), before.alias("__before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in within], F.col("__part") == F.col("__at"))
+    number = F.row_number().over(Window.partitionBy(*within, "__part").orderBy(*order)) - 1
+    out = rows.withColumn(name, number).join(starts, same)
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__at", "__before", *[f"__{c}" for c in within])
+
+
+def batches(corpus: DataFrame, n: int, order: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """corpus with batch: rows in order, n by n, numbered from 0 in each text (or other group)."""
+    return with_index(corpus, order, within, "batch").withColumn("batch", F.floor(F.col("batch") / n).cast("bigint"))
+
+
+def zip_many(corpora: Sequence[DataFrame], order: Sequence[str], within: Sequence[str]) -> DataFrame:
+    """Rows with equal places in their texts side by side, as struct columns r0, r1 ...; the shortest text ends it."""
+    place = "__place"
+    sides = []
+    for i, c in enumerate(corpora):
+        rows = with_index(c, order, within, place)
+        sides.append(rows.select(*within, place, F.struct(*[F.col(x) for x in c.columns if x not in within]).alias(f"r{i}")))
+    return reduce(lambda a, b: a.join(b, [*within, place]), sides).withColumnRenamed(place, "place")
+
+
+def common_texts(corpora: Sequence[DataFrame]) -> DataFrame:
+    """text_id of the texts that all corpora have."""
+    return reduce(lambda a, b: a.intersect(b), [c.select("text_id") for c in corpora])
+
+
+def all_texts(corpora: Sequence[DataFrame]) -> DataFrame:
+    """text_id of the texts that some corpus has."""
+    return reduce(lambda a, b: a.union(b), [c.select("text_id") for c in corpora]).distinct()
+
+
+def except_refs(corpus: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of corpus whose references the other lacks."""
+    return corpus.join(other.select("text_id", "ref").distinct(), ["text_id", "ref"], "left_anti")
+
+
+def transform(corpus: DataFrame, *processors) -> DataFrame:
+    """corpus after each processor, a function of the segment column, in turn; without any, as it is."""
+    return corpus.withColumn("segment", reduce(lambda c, f: f(c), processors, F.col("segment"))) if processors else corpus
+
+
+def sentence_starts(corpus: DataFrame, order: Sequence[str], text: str = "text", within: str = "text_id") -> DataFrame:
+    """corpus with starts: whether the row before ends a sentence; the first row of a text starts one."""
+    from ..functions.text import has_sentence_ending
+
+    before = F.lag(has_sentence_ending(F.col(text))).over(Window.partitionBy(within).orderBy(*order))
+    return corpus.withColumn("starts", F.coalesce(before, F.lit(True)))
+
+
+def islands(corpus: DataFrame, key: str, order: Sequence[str], within: str = "text_id") -> DataFrame:
+    """corpus with island: rows in order that follow each other with equal keys have one number, from 1."""
+    w = Window.partitionBy(within).orderBy(*order)
+    starts = (~F.lag(key).over(w).eqNullSafe(F.col(key))).cast("int")
+    return corpus.withColumn("__starts", starts).withColumn("island", F.sum("__starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__starts")
 
 
 def take(corpus: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -59,8 +128,28 @@ def split(corpus: DataFrame, key: Column, percent: float | None = None, size: in
     n = min(x for x in (int(total * percent) if percent is not None else total, size if size is not None else total))
     if n <= 0:
         return rows.withColumn("is_split", F.lit(False)).drop("__draw")
-    last = rows.select("__draw").where("__draw is not null").orderBy("__draw").limit(n).agg(F.max("__draw")).first()[0]
-    return rows.withColumn("is_split", F.coalesce(F.col("__draw") <= last, F.lit(False))).drop("__draw")
+    # The threshold lies in one of many even ranges of hashes, which counts tell; only that range is sorted.
+    rows = rows.withColumn("__range", F.shiftright("__draw", 64 - SPLIT_BITS))
+    at, before = None, 0
+    for r in rows.where("__draw is not null").groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # at most 2 ** SPLIT_BITS rows
+        at = r["__range"]
+        if before + r["n"] >= n:
+            break
+        before += r["n"]
+    inside = rows.where(F.col("__range") == at).groupBy("__draw").agg(F.count("*").alias("n")).orderBy("__draw")
+    last, room = None, n - before
+    for r in inside.limit(room).collect():
+        last, extra = r["__draw"], r["n"] - room
+        room -= r["n"]
+        if room <= 0:
+            break
+    drawn = F.coalesce(F.col("__draw") <= last, F.lit(False))
+    if extra > 0:  # equal hashes: so many of them stay out
+        tied = F.row_number().over(Window.partitionBy("__draw").orderBy(*[c for c in ("text_id", "ref") if c in corpus.columns]))
+        some = rows.where(F.col("__draw") == last).withColumn("__rank", tied).withColumn("is_split", F.col("__rank") > extra).drop("__rank")
+        rest = rows.where(~F.col("__draw").eqNullSafe(F.lit(last))).withColumn("is_split", drawn)
+        return rest.unionByName(some).drop("__draw", "__range")
+    return rows.withColumn("is_split", drawn).drop("__draw", "__range")
 
 
 def invert(parallel: DataFrame) -> DataFrame:

@@ -130,6 +130,11 @@ def ngram_kneser_ney(corpus: DataFrame, n: int, tokens: str = "tokens") -> DataF
     return rows
 
 
+def train_all(corpus: DataFrame, n: int, train=ngram_kneser_ney, tokens: str = "tokens") -> list[DataFrame]:
+    """Models of orders 1 to n of one corpus."""
+    return [train(corpus, k, tokens) for k in range(1, n + 1)]
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -154,6 +159,22 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return kullback_leibler(p, mean) / 2 + kullback_leibler(q, mean) / 2
 
 
+def divergences(probs: DataFrame, key: str, sample: str) -> DataFrame:
+    """(one, two, js): Jensen-Shannon divergence in bits of each two distributions of (key, sample, prob).
+
+    Only samples that both have are joined. A sample of one side alone adds half its probability there,
+    all of which is 1 less what the shared ones have.
+    """
+    one = probs.select(F.col(key).alias("one"), sample, F.col("prob").alias("p"))
+    two = probs.select(F.col(key).alias("two"), sample, F.col("prob").alias("q"))
+    mean = (F.col("p") + F.col("q")) / 2
+    both = one.join(two, sample).where("one < two").groupBy("one", "two").agg(F.sum(F.col("p") * F.log2(F.col("p") / mean) + F.col("q") * F.log2(F.col("q") / mean)).alias("s"), F.sum(F.col("p") + F.col("q")).alias("shared"))
+    keys = probs.groupBy(key).agg(F.count("*").alias("n")).where("n > 0")  # one row for each distribution
+    pairs = keys.select(F.col(key).alias("one")).join(keys.select(F.col(key).alias("two")), F.col("one") < F.col("two"))
+    out = pairs.join(both, ["one", "two"], "left")
+    return out.select("one", "two", ((F.coalesce("s", F.lit(0.0)) + 2 - F.coalesce("shared", F.lit(0.0))) / 2).alias("js"))
+
+
 def geometric_mean(value: Column) -> Column:
     """An aggregate: 0 if there is no value or one that isn't positive."""
     return F.when(F.min(value) > 0, F.exp(F.avg(F.ln(F.when(value > 0, value))))).otherwise(0.0)
@@ -169,5 +190,9 @@ def log_add(a: Column, b: Column) -> Column:
     return F.when(low <= LOG_ZERO, high).otherwise(high + F.log1p(F.exp(low - high)))
 
 
+def log_divide(a: Column, b: Column) -> Column:
+    return F.when(a <= LOG_ZERO, F.lit(LOG_ZERO)).otherwise(a - b)
+
+
 def log_multiply(a: Column, b: Column) -> Column:
     return F.when((a <= LOG_ZERO) | (b <= LOG_ZERO), F.lit(LOG_ZERO)).otherwise(a + b)

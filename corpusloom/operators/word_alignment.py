@@ -209,8 +209,9 @@ def _neighbours(diagonal: bool) -> list[tuple[int, int]]:
 def symmetrize(a: set[tuple[int, int]], b: set[tuple[int, int]], heuristic: str) -> set[tuple[int, int]]:
     """Pairs of two directions put together.
 
-    union, intersection; och: the intersection grows by pairs of the union whose row or column is free,
-    or which extend a pair one way only; grow, grow-diag: by neighbours of pairs with a free row or
+    union, intersection; och: the intersection grows by pairs of the union whose row and column are free, or
+    which have a pair beside them; priority: the first direction grows by pairs of the second whose row and
+    column are free, or which have a pair beside them along one of them only; grow, grow-diag: by neighbours of pairs with a free row or
     column; -final: then by all pairs with a free row or column; -final-and: by those with both free.
     """
     both, either = a & b, a | b
@@ -227,13 +228,16 @@ def symmetrize(a: set[tuple[int, int]], b: set[tuple[int, int]], heuristic: str)
         cols.add(p[1])
 
     changed = True
-    if heuristic == "och":
+    if heuristic == "priority":
+        out, rows, cols = set(a), {i for i, _ in a}, {j for _, j in a}
+    if heuristic in ("och", "priority"):
         while changed:
             changed = False
             for i, j in sorted(either - out):
                 across = (i, j - 1) in out or (i, j + 1) in out
                 along = (i - 1, j) in out or (i + 1, j) in out
-                if i not in rows and j not in cols or across != along:
+                beside = across or along if heuristic == "och" else across != along
+                if i not in rows and j not in cols or beside:
                     add((i, j))
                     changed = True
         return out
@@ -269,11 +273,87 @@ def symmetrize_rows(rows: DataFrame, heuristic: str = "grow-diag-final-and") ->
     return rows.select("seg", "direct", "inverse").mapInPandas(run, f"seg {kind}, pairs array<struct<i: int, j: int>>")
 
 
+def transpose(pairs: Column) -> Column:
+    """Pairs of the other direction."""
+    return F.array_sort(F.transform(pairs, lambda p: F.struct(p["j"].alias("i"), p["i"].alias("j"))))
+
+
+def resize(pairs: Column, n_source: Column, n_target: Column) -> Column:
+    """Pairs within the first n_source and n_target words."""
+    return F.filter(pairs, lambda p: (p["i"] < n_source) & (p["j"] < n_target))
+
+
+def row_aligned(pairs: Column, i: Column) -> Column:
+    return F.exists(pairs, lambda p: p["i"] == i)
+
+
+def column_aligned(pairs: Column, j: Column) -> Column:
+    return F.exists(pairs, lambda p: p["j"] == j)
+
+
+def neighbour_aligned(pairs: Column, i: Column, j: Column, way: str) -> Column:
+    """Whether a pair lies beside (i, j): across (same i), along (same j) or diagonal."""
+    far_i, far_j = (lambda p: F.abs(p["i"] - i)), (lambda p: F.abs(p["j"] - j))
+    sides = {"across": (0, 1), "along": (1, 0), "diagonal": (1, 1)}[way]
+    return F.exists(pairs, lambda p: (far_i(p) == sides[0]) & (far_j(p) == sides[1]))
+
+
+def with_nulls(pairs: Column, n_source: Column, n_target: Column) -> Column:
+    """Pairs, and for each word without one a pair with -1; target words without one first."""
+    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    targets = F.transform(F.array_except(numbers(n_target), F.transform(pairs, lambda p: p["j"].cast("int"))), lambda j: pair(F.lit(-1), j))
+    sources = F.transform(F.array_except(numbers(n_source), F.transform(pairs, lambda p: p["i"].cast("int"))), lambda i: pair(i, F.lit(-1)))
+    return F.concat(targets, F.array_sort(F.concat(F.transform(pairs, lambda p: pair(p["i"], p["j"])), sources)))
+
+
+def merge_known(estimated: Column, known: Column) -> Column:
+    """Known pairs, and those estimated whose words have no known pair."""
+    free = F.filter(estimated, lambda e: ~F.exists(known, lambda k: (k["i"] == e["i"]) | (k["j"] == e["j"])))
+    return F.array_sort(F.concat(known, free))
+
+
+def translations(table: DataFrame, threshold: float = 0.0, most: int | None = None) -> DataFrame:
+    """(src, trg, prob, rank): each source word's translations over a threshold, likeliest first."""
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("prob"), "trg"))
+    rows = table.where((F.col("prob") > threshold) & (F.col("src") != NULL)).withColumn("rank", rank)
+    return rows if most is None else rows.where(F.col("rank") <= most)
+
+
+def to_giza(number: Column, source: Column, target: Column, pairs: Column) -> Column:
+    """Three lines of one segment: a heading, the target words, the source words with their targets' numbers from 1."""
+    numbers = lambda i: F.array_join(F.transform(F.array_sort(F.transform(F.filter(pairs, lambda p: p["i"] == i), lambda p: p["j"])), lambda j: (j + 1).cast("string")), " ")
+    listed = lambda w, ns: F.concat(w, F.lit(" ({ "), F.when(ns == "", "").otherwise(F.concat(ns, F.lit(" "))), F.lit("})"))
+    free = F.array_except(F.sequence(F.lit(1), F.greatest(F.size(target), F.lit(1))), F.transform(pairs, lambda p: (p["j"] + 1).cast("int")))
+    null = listed(F.lit("NULL"), F.when(F.size(target) > 0, F.array_join(F.transform(free, lambda j: j.cast("string")), " ")).otherwise(""))
+    heading = F.concat(F.lit("# Sentence pair ("), number.cast("string"), F.lit(") source length "), F.size(source).cast("string"), F.lit(" target length "), F.size(target).cast("string"), F.lit(" alignment score : 0"))
+    return F.concat_ws("\n", heading, F.array_join(target, " "), F.array_join(F.concat(F.array(null), F.transform(source, lambda w, i: listed(w, numbers(i)))), " "))
+
+
+def _number(x: Column) -> Column:
+    """A number with up to eight decimals and no zeros at its end."""
+    return F.regexp_replace(F.format_string("%.8f", x.cast("double")), r"\.?0+$", "")
+
+
 def to_pharaoh(pairs: Column) -> Column:
     """Pairs as text: i-j, separated by spaces."""
     return F.array_join(F.transform(pairs, lambda p: F.concat_ws("-", p["i"].cast("string"), p["j"].cast("string"))), " ")
 
 
+def to_pharaoh_scored(pairs: Column) -> Column:
+    """Pairs with scores (structs i, j, tscore, ascore) as text: i-j:translation:alignment; scores below 0 are left out."""
+    scores = lambda p: F.when(p["tscore"] >= 0, F.concat(F.lit(":"), _number(p["tscore"]), F.when(p["ascore"] >= 0, F.concat(F.lit(":"), _number(p["ascore"]))).otherwise(""))).otherwise("")
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["i"].cast("string"), F.lit("-"), p["j"].cast("string"), scores(p))), " ")
+
+
+def from_pharaoh_scored(text: Column) -> Column:
+    """Pairs of a text with their scores; a score that isn't there is -1."""
+    score = lambda t, n: F.coalesce(F.try_element_at(F.split(t, ":"), F.lit(n)).cast("double"), F.lit(-1.0))
+    words = F.filter(F.split(text, " "), lambda t: t != "")
+    plain = from_pharaoh(text)
+    return F.zip_with(plain, words, lambda p, t: F.struct(p["i"].alias("i"), p["j"].alias("j"), score(t, 2).alias("tscore"), score(t, 3).alias("ascore")))
+
+
 def from_pharaoh(text: Column) -> Column:
     """Pairs of a text; NULL stands for -1, scores after colons are left out."""
     number = lambda s: F.when(s == "NULL", F.lit(-1)).otherwise(s.cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segments
 from ..functions import text as fn
 from ..operators import rows, statistics
 from .registry import query, table
@@ -83,15 +84,16 @@ def split_corpus(spark, sf_dir):
 @query("corpus_count", f"SELECT text_id, count(*) AS all_rows, count(*) FILTER (len(segment) > 0) AS full_rows FROM ({DOCS_SQL}) GROUP BY text_id")
 def corpus_count(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return docs.groupBy("text_id").agg(F.count("*").alias("all_rows"), F.count_if(F.size("segment") > 0).alias("full_rows"))
+    full = rows.count(docs, include_empty=False).withColumnRenamed("n_rows", "full_rows")
+    return rows.count(docs).withColumnRenamed("n_rows", "all_rows").join(full, "text_id")
 
 
 @query(
     "lowercase_tokens",
-    f"SELECT lang, count(*) AS n, count(DISTINCT lower(w)) AS n_lower, count(DISTINCT upper(w)) AS n_upper FROM (SELECT lang, unnest({TOKENS_SQL}) AS w FROM documents WHERE lang = 'en') GROUP BY lang",
+    f"SELECT lang, count(*) AS n, count(DISTINCT lower(w)) AS n_lower, count(DISTINCT upper(replace(w, 'ß', 'ss'))) AS n_upper FROM (SELECT lang, unnest({TOKENS_SQL}) AS w FROM documents) GROUP BY lang",
 )
 def lowercase_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("lang", tokens().alias("t"))
+    docs = table(spark, sf_dir, "documents").select("lang", tokens().alias("t"))
     both = docs.select("lang", F.explode(F.arrays_zip(fn.lowercase(F.col("t")).alias("l"), fn.uppercase(F.col("t")).alias("u"))).alias("w"))
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("w.l").alias("n_lower"), F.countDistinct("w.u").alias("n_upper"))
 
@@ -119,24 +121,20 @@ def sentence_ending(spark, sf_dir):
 
 @query(
     "sentence_start_flags",
-    "SELECT conv_id, turn, coalesce(lag(regexp_matches(text, '[.!?]\\s*$')) OVER (PARTITION BY conv_id ORDER BY turn), true) AS starts FROM conversations",
+    "SELECT conv_id, turn, coalesce(lag(regexp_matches(text, '[.!?‼‽⁇⁈⁉。﹒﹗！．？｡][\"“”„‟''‘’‚‛«»‹›)\\]>}]*\\s*$')) OVER (PARTITION BY conv_id ORDER BY turn), true) AS starts FROM conversations",
 )
 def sentence_start_flags(spark, sf_dir):
-    from pyspark.sql import Window
+    return rows.sentence_starts(table(spark, sf_dir, "conversations"), ["turn"], "text", "conv_id").select("conv_id", "turn", "starts")
 
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.coalesce(F.lag(F.col("text").rlike("[.!?]\\s*$")).over(w), F.lit(True)).alias("starts"))
 
-
-@query("capitalize", "SELECT item_id, concat(upper(text[1:1]), text[2:]) AS capital, concat(upper(text[1:1]), lower(text[2:])) AS title FROM benchmark")
+@query("capitalize", "SELECT doc_id, concat(upper(text[1:1]), text[2:]) AS capital, concat(upper(text[1:1]), lower(text[2:])) AS title FROM documents")
 def capitalize(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", fn.capitalize(F.col("text")).alias("capital"), fn.to_title_case(F.col("text")).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.capitalize(F.col("text")).alias("capital"), fn.to_title_case(F.col("text")).alias("title"))
 
 
-@query("trim_end", "SELECT item_id, regexp_replace(text, '[.\\s]+$', '') AS trimmed FROM benchmark")
+@query("trim_end", "SELECT doc_id, regexp_replace(text, '[. \\n\\t]+$', '') AS trimmed FROM documents")
 def trim_end(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[.\\s]+$", "").alias("trimmed"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.trim_end(F.col("text"), ". \n\t").alias("trimmed"))
 
 
 @query("latin_tokens")
@@ -147,12 +145,12 @@ def latin_tokens(spark, sf_dir):
 @query("latin_round_trip")
 def latin_round_trip(spark, sf_dir):
     kept = fn.latin_tokens(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", fn.latin_detokenize(kept).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", segments.latin_detokenize(kept).alias("text"))
 
 
 @query("sentence_case")
 def sentence_case(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", fn.to_sentence_case(fn.latin_tokens(F.col("text"))).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.to_sentence_case(fn.latin_tokens(F.col("text"))).alias("tokens"))
 
 
 @query("whitespace_tokens", "SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS n FROM documents")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, rows
@@ -37,30 +36,55 @@ _register("align_rows_all_target", "RIGHT", False, True)
 _register("align_rows_full", "FULL", True, True)
 
 
-def three(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("text_id"), (F.col("doc_id") % 97).alias("ref"), tokens().alias("segment"), "doc_id")
-    first = docs.groupBy("lang", "text_id", "ref").agg(F.min_by("segment", "doc_id").alias("segment"))
-    return [first.where(F.col("lang") == lang).drop("lang") for lang in ("de", "fr", "es")]
+LANGS = ("de", "en", "es", "fr")
 
 
-THREE_SQL = f"""WITH d AS (SELECT lang, source AS text_id, doc_id % 97 AS ref, arg_min(len({TOKENS_SQL}), doc_id) AS n FROM documents GROUP BY ALL),
-p AS (SELECT text_id, ref, max(n) FILTER (lang = 'de') AS n0, max(n) FILTER (lang = 'fr') AS n1, max(n) FILTER (lang = 'es') AS n2 FROM d WHERE lang IN ('de', 'fr', 'es') GROUP BY ALL)"""
+def four(spark, sf_dir):
+    """documents as four corpora, one of each language: the text is the source, references number its documents."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("text_id"), "doc_id", tokens().alias("segment"))
+    docs = rows.with_index(docs, ["doc_id"], ["lang", "text_id"], "ref")
+    return [docs.where(F.col("lang") == lang).select("text_id", "ref", "segment") for lang in LANGS]
 
 
-@query("align_many", f"{THREE_SQL} SELECT text_id, ref, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2 FROM p WHERE n0 IS NOT NULL OR (n1 IS NOT NULL AND n2 IS NOT NULL AND n0 IS NOT NULL)")
+FOUR_SQL = f"""WITH d AS (SELECT lang, source AS text_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS ref, len({TOKENS_SQL}) AS n FROM documents),
+p AS (SELECT text_id, ref, {", ".join(f"max(n) FILTER (lang = '{lang}') AS n{i}" for i, lang in enumerate(LANGS))} FROM d WHERE lang IN {LANGS} GROUP BY ALL)"""
+
+
+@query("align_many", f"{FOUR_SQL} SELECT text_id, ref, {', '.join(f'coalesce(n{i}, 0) AS n{i}' for i in range(4))} FROM p WHERE n0 IS NOT NULL OR n2 IS NOT NULL")
 def align_many(spark, sf_dir):
-    out = joins.align_many(three(spark, sf_dir), [True, False, False])
-    return out.select("text_id", "ref", *[F.size(F.col("segments")[i]).cast("bigint").alias(f"n{i}") for i in range(3)])
+    out = joins.align_many(four(spark, sf_dir), [True, False, True, False])
+    return out.select("text_id", F.col("ref").cast("bigint").alias("ref"), *[F.size(F.col("segments")[i]).cast("bigint").alias(f"n{i}") for i in range(4)])
+
+
+@query("align_many_inner", f"{FOUR_SQL} SELECT text_id, ref, n0, n1, n2, n3 FROM p WHERE n0 IS NOT NULL AND n1 IS NOT NULL AND n2 IS NOT NULL AND n3 IS NOT NULL")
+def align_many_inner(spark, sf_dir):
+    out = joins.align_many(four(spark, sf_dir), [False] * 4)
+    return out.select("text_id", F.col("ref").cast("bigint").alias("ref"), *[F.size(F.col("segments")[i]).cast("bigint").alias(f"n{i}") for i in range(4)])
+
+
+TRIPLE_SQL = """WITH t AS (SELECT conv_id AS text_id, turn // 4 AS ref, turn % 3 AS corpus, length(text) AS n FROM conversations)
+SELECT coalesce(a.text_id, b.text_id, c.text_id) AS text_id, coalesce(a.ref, b.ref, c.ref) AS ref, coalesce(a.n, 0) AS n0, coalesce(b.n, 0) AS n1, coalesce(c.n, 0) AS n2
+FROM (SELECT * FROM t WHERE corpus = 0) a FULL JOIN (SELECT * FROM t WHERE corpus = 1) b ON a.text_id = b.text_id AND a.ref = b.ref
+FULL JOIN (SELECT * FROM t WHERE corpus = 2) c ON coalesce(a.text_id, b.text_id) = c.text_id AND coalesce(a.ref, b.ref) = c.ref"""
+
+
+@query("align_many_duplicates", TRIPLE_SQL)
+def align_many_duplicates(spark, sf_dir):
+    """References that repeat in a corpus: their rows meet in all ways."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("text_id"), F.floor(F.col("turn") / 4).cast("bigint").alias("ref"), "turn", F.array("text").alias("segment"))
+    corpora = [turns.where(F.col("turn") % 3 == i).drop("turn") for i in range(3)]
+    size = lambda i: F.coalesce(F.length(F.get(F.col("segments")[i], F.lit(0))), F.lit(0)).cast("bigint").alias(f"n{i}")
+    return joins.align_many(corpora, [True] * 3).select("text_id", "ref", *[size(i) for i in range(3)])
 
 
-@query("choose_first", f"{THREE_SQL} SELECT text_id, ref, CASE WHEN n0 > 0 THEN 0 WHEN n1 > 0 THEN 1 WHEN n2 > 0 THEN 2 ELSE -1 END AS corpus_no, CASE WHEN n0 > 0 THEN n0 WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 ELSE 0 END AS n FROM p")
+@query("choose_first", f"{FOUR_SQL} SELECT text_id, ref, CASE WHEN n0 > 0 THEN 0 WHEN n1 > 0 THEN 1 WHEN n2 > 0 THEN 2 WHEN n3 > 0 THEN 3 ELSE -1 END AS corpus_no, CASE WHEN n0 > 0 THEN n0 WHEN n1 > 0 THEN n1 WHEN n2 > 0 THEN n2 WHEN n3 > 0 THEN n3 ELSE 0 END AS n FROM p")
 def choose_first(spark, sf_dir):
-    return joins.choose_first(three(spark, sf_dir)).select("text_id", "ref", "corpus_no", F.size("segment").cast("bigint").alias("n"))
+    return joins.choose_first(four(spark, sf_dir)).select("text_id", F.col("ref").cast("bigint").alias("ref"), "corpus_no", F.size("segment").cast("bigint").alias("n"))
 
 
 @query("choose_random")
 def choose_random(spark, sf_dir):
-    return joins.choose_random(three(spark, sf_dir), 1234).select("text_id", "ref", "corpus_no", F.size("segment").alias("n"))
+    return joins.choose_random(four(spark, sf_dir), 1234).select("text_id", "ref", "corpus_no", F.size("segment").alias("n"))
 
 
 @query(
@@ -70,9 +94,7 @@ def choose_random(spark, sf_dir):
     SELECT conv_id, island::BIGINT AS island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS n FROM g GROUP BY conv_id, island""",
 )
 def range_islands(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").withColumn("starts", (~F.lag("role").over(w).eqNullSafe(F.col("role"))).cast("int"))
-    turns = turns.withColumn("island", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    turns = rows.islands(table(spark, sf_dir, "conversations"), "role", ["turn"], "conv_id")
     return turns.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n"))
 
 
@@ -86,10 +108,10 @@ def align_ranges(spark, sf_dir):
 
 @query(
     "merge_duplicates",
-    f"SELECT source AS text_id, doc_id % 50 AS ref, sum(len({TOKENS_SQL}))::BIGINT AS n, md5(string_agg(array_to_string({TOKENS_SQL}, ' '), ' ' ORDER BY doc_id)) AS words FROM documents GROUP BY ALL",
+    f"SELECT source AS text_id, doc_id // 3 AS ref, sum(len({TOKENS_SQL}))::BIGINT AS n, md5(string_agg(array_to_string({TOKENS_SQL}, ' '), ' ' ORDER BY doc_id)) AS words FROM documents GROUP BY ALL",
 )
 def merge_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("text_id"), (F.col("doc_id") % 50).alias("ref"), "doc_id", tokens().alias("segment"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("text_id"), F.floor(F.col("doc_id") / 3).cast("bigint").alias("ref"), "doc_id", tokens().alias("segment"))
     out = joins.merge_duplicates(docs, ["doc_id"])
     return out.select("text_id", "ref", F.size("segment").cast("bigint").alias("n"), F.md5(F.array_join("segment", " ").cast("binary")).alias("words"))
 

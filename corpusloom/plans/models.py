@@ -55,11 +55,11 @@ def sgt_prob(spark, sf_dir):
     return statistics.good_turing(word_frequency(spark, sf_dir)).select("cnt", F.round("smoothed", 6).alias("smoothed"), "switched")
 
 
-def bench_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.transform(tokens(), F.lower).alias("tokens"))
+def text_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.transform(tokens(), F.lower).alias("tokens"))
 
 
-BIGRAM_SQL = f"""WITH b AS (SELECT list_transform({TOKENS_SQL}, lambda x: lower(x)) AS t FROM benchmark),
+BIGRAM_SQL = f"""WITH b AS (SELECT list_transform({TOKENS_SQL}, lambda x: lower(x)) AS t FROM documents),
 u AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(t) AS word FROM b) GROUP BY word),
 g AS (SELECT t[i] AS context, t[i + 1] AS word, count(*) AS cnt FROM (SELECT t, unnest(range(1, len(t))) AS i FROM b) GROUP BY ALL),
 c AS (SELECT context, sum(cnt) AS n, count(*) AS k, count(*) FILTER (cnt = 1) AS n1, count(*) FILTER (cnt = 2) AS n2, count(*) FILTER (cnt > 2) AS n3 FROM g GROUP BY context),
@@ -68,17 +68,17 @@ p AS (SELECT word, cnt / sum(cnt) OVER () AS prob FROM u)"""
 
 @query("ngram_counts", f"{BIGRAM_SQL} SELECT context, word, cnt FROM g")
 def ngram_counts(spark, sf_dir):
-    return statistics.ngram_counts(bench_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", "cnt")
+    return statistics.ngram_counts(text_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", "cnt")
 
 
 @query("bigram_mle", f"{BIGRAM_SQL} SELECT context, word, round(cnt / n, 9) AS prob FROM g JOIN c USING (context)")
 def bigram_mle(spark, sf_dir):
-    return statistics.ngram_max_likelihood(bench_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
+    return statistics.ngram_max_likelihood(text_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
 
 
 @query("bigram_witten_bell", f"{BIGRAM_SQL} SELECT context, g.word, round((g.cnt + k * p.prob) / (n + k), 9) AS prob FROM g JOIN c USING (context) JOIN p ON g.word = p.word")
 def bigram_witten_bell(spark, sf_dir):
-    return statistics.ngram_witten_bell(bench_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
+    return statistics.ngram_witten_bell(text_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
 
 
 @query(
@@ -88,23 +88,22 @@ def bigram_witten_bell(spark, sf_dir):
     SELECT context, g.word, round((cnt - CASE cnt WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / n + (d1 * n1 + d2 * n2 + d3 * n3) / n * p.prob, 9) AS prob FROM g JOIN c USING (context) JOIN p ON g.word = p.word, d""",
 )
 def bigram_kneser_ney(spark, sf_dir):
-    return statistics.ngram_kneser_ney(bench_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
+    return statistics.ngram_kneser_ney(text_tokens(spark, sf_dir), 2).select(F.col("context")[0].alias("context"), "word", F.round("prob", 9).alias("prob"))
 
 
 @query(
     "bleu_corpus",
-    f"""WITH r AS (SELECT conv_id, turn, list_transform({TOKENS_SQL}, lambda x: x[1:3]) AS t FROM conversations),
-    p AS (SELECT row_number() OVER () AS id, a.t AS h, b.t AS f FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn),
-    gh AS (SELECT id, n, h[i:i + n - 1] AS g, count(*) AS c FROM (SELECT id, h, n, unnest(range(1, len(h) - n + 2)) AS i FROM p, (SELECT unnest([1, 2]) AS n)) GROUP BY ALL),
-    gf AS (SELECT id, n, f[i:i + n - 1] AS g, count(*) AS c FROM (SELECT id, f, n, unnest(range(1, len(f) - n + 2)) AS i FROM p, (SELECT unnest([1, 2]) AS n)) GROUP BY ALL),
-    m AS (SELECT gh.n AS n, sum(gh.c) AS total, sum(least(gh.c, coalesce(gf.c, 0))) AS same FROM gh LEFT JOIN gf ON gh.id = gf.id AND gh.n = gf.n AND gh.g = gf.g GROUP BY gh.n),
-    l AS (SELECT sum(len(h)) AS hyp, sum(len(f)) AS ref FROM p)
-    SELECT round((SELECT exp(sum(ln(same / total)) / 2) FROM m) * CASE WHEN hyp >= ref THEN 1.0 ELSE exp(1 - ref / hyp) END, 6) AS bleu FROM l""",
+    f"""WITH r AS (SELECT row_number() OVER () AS id, {TOKENS_SQL} AS h FROM conversations), p AS (SELECT id, h, list_transform(h, lambda x: lower(x)) AS f FROM r),
+    k AS (SELECT unnest([1, 2, 3, 4]) AS n),
+    gh AS (SELECT id, n, h[i:i + n - 1] AS g, count(*) AS c FROM (SELECT id, h, n, unnest(range(1, len(h) - n + 2)) AS i FROM p, k) GROUP BY ALL),
+    gf AS (SELECT id, n, f[i:i + n - 1] AS g, count(*) AS c FROM (SELECT id, f, n, unnest(range(1, len(f) - n + 2)) AS i FROM p, k) GROUP BY ALL),
+    m AS (SELECT gh.n AS n, sum(gh.c) AS total, sum(least(gh.c, coalesce(gf.c, 0))) AS same FROM gh LEFT JOIN gf ON gh.id = gf.id AND gh.n = gf.n AND gh.g = gf.g GROUP BY gh.n)
+    SELECT round(exp(sum(ln(same / total)) / 4), 6) AS bleu FROM m""",
 )
 def bleu_corpus(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.transform(tokens(), lambda t: F.substring(t, 1, 3)).alias("t"))
-    pairs = turns.withColumnRenamed("t", "h").join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("f")), ["conv_id", "turn"])
-    return evaluation.bleu(pairs, "h", "f", 2).select(F.round("bleu", 6).alias("bleu"))
+    """How well turns match their lower-case selves: whole tokens, up to four in a row."""
+    turns = table(spark, sf_dir, "conversations").select(tokens().alias("h"))
+    return evaluation.bleu(turns.withColumn("f", F.transform("h", F.lower)), "h", "f").select(F.round("bleu", 6).alias("bleu"))
 
 
 @query(
@@ -178,13 +177,7 @@ def euclid_pairs(spark, sf_dir):
 )
 def js_divergence(spark, sf_dir):
     counts = statistics.frequency(words(spark, sf_dir).withColumn("x", F.substring("word", 1, 1)), "lang", "x")
-    probs = statistics.max_likelihood(counts, "lang")
-    kinds = probs.select("x").distinct()
-    grid = probs.select("lang").distinct().join(kinds.groupBy().agg(F.collect_set("x").alias("xs")))  # one row for each language
-    grid = grid.select("lang", F.explode("xs").alias("x")).join(probs, ["lang", "x"], "left")
-    vector = grid.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("x", F.coalesce("prob", F.lit(0.0)).alias("p")))).alias("v")).select("lang", F.transform("v", lambda s: s["p"]).alias("v"))
-    both = vector.select(F.col("lang").alias("one"), F.col("v").alias("p")).join(vector.select(F.col("lang").alias("two"), F.col("v").alias("q")), F.col("one") < F.col("two"))
-    return both.select("one", "two", F.round(statistics.jensen_shannon(F.col("p"), F.col("q")), 6).alias("js"))
+    return statistics.divergences(statistics.max_likelihood(counts, "lang"), "lang", "x").select("one", "two", F.round("js", 6).alias("js"))
 
 
 @query("affix_counts", f"WITH {WORDS_SQL}, d AS (SELECT DISTINCT word FROM w), s AS (SELECT word, unnest(range(1, least(4, length(word) - 1) + 1)) AS n FROM d WHERE length(word) > 1) SELECT right(word, n) AS affix, count(*) AS n_words FROM s GROUP BY ALL")
@@ -194,7 +187,7 @@ def affix_counts(spark, sf_dir):
 
 @query("affix_scores")
 def affix_scores(spark, sf_dir):
-    return morphology.affix_scores(words(spark, sf_dir).where("lang = 'en'"))
+    return morphology.affix_scores(words(spark, sf_dir))
 
 
 @query("levenshtein_pairs", "SELECT a.p_partkey AS p_partkey, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON a.p_partkey + 1 = b.p_partkey")
@@ -206,8 +199,8 @@ def levenshtein_pairs(spark, sf_dir):
 
 @query("truecase_model")
 def truecase_model(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+|[^\s\p{L}]"), F.lit(0)).alias("tokens"), F.lit(True).alias("sentence_start"))
-    return morphology.truecaser(docs, ["item_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+|[^\s\p{L}]"), F.lit(0)).alias("tokens"), F.lit(True).alias("sentence_start"))
+    return morphology.truecaser(docs, ["doc_id"])
 
 
 def _parallel(spark, sf_dir):
@@ -218,12 +211,12 @@ def _parallel(spark, sf_dir):
 
 @query("ibm1_ttable")
 def ibm1_ttable(spark, sf_dir):
-    return word_alignment.train_ibm1(_parallel(spark, sf_dir), 3)
+    return word_alignment.train_ibm1(_parallel(spark, sf_dir))
 
 
 @query("lexicon_beam")
 def lexicon_beam(spark, sf_dir):
-    return word_alignment.lexicon(word_alignment.train_ibm1(_parallel(spark, sf_dir), 3), 0.01)
+    return word_alignment.lexicon(word_alignment.train_ibm1(_parallel(spark, sf_dir)), 0.01)
 
 
 @query("symmetrize_gdfa")
@@ -231,8 +224,8 @@ def symmetrize_gdfa(spark, sf_dir):
     rows = _parallel(spark, sf_dir)
     back = rows.select("seg", F.col("target_segment").alias("source_segment"), F.col("source_segment").alias("target_segment"))
     pairs = lambda best: best.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("pairs"))
-    direct = pairs(word_alignment.best_pairs(rows, word_alignment.train_ibm1(rows, 2))).withColumnRenamed("pairs", "direct")
-    other = word_alignment.best_pairs(back, word_alignment.train_ibm1(back, 2)).select("seg", F.col("j").alias("i"), F.col("i").alias("j"))
+    direct = pairs(word_alignment.best_pairs(rows, word_alignment.train_ibm1(rows))).withColumnRenamed("pairs", "direct")
+    other = word_alignment.best_pairs(back, word_alignment.train_ibm1(back)).select("seg", F.col("j").alias("i"), F.col("i").alias("j"))
     inverse = pairs(other).withColumnRenamed("pairs", "inverse")
     none = F.array().cast("array<struct<i:int,j:int>>")  # all words of a segment may go to the null word
     whole = rows.select("seg").distinct().join(direct, "seg", "left").join(inverse, "seg", "left")

@@ -33,8 +33,9 @@ def flag_bits(names: Column) -> Column:
     return F.aggregate(bits, F.lit(0), lambda s, x: s.bitwiseOR(x))
 
 
-def read_corpus(spark: SparkSession, path: str, text_id: str | None = None) -> DataFrame:
-    """(text_id, ref, segment, flags) of one or more files; text_id is given or the file's name without its ending.
+def read_corpus(spark: SparkSession, path: str, text_id: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(text_id, ref, segment, flags) of one or more files; text_id is given, what a pattern's stars stand for in
+    the file's name, or that name without its ending.
 
     ref is an array of keys. Lines of three columns have flags; others start a sentence.
     """
@@ -43,7 +44,7 @@ def read_corpus(spark: SparkSession, path: str, text_id: str | None = None) -> D
     text = F.when(one, F.col("p")[0]).otherwise(F.col("p")[1])
     text = F.trim(text)
     return rows.select(
-        F.lit(text_id).alias("text_id") if text_id else F.regexp_replace("file", r"\.[^.]*$", "").alias("text_id"),
+        F.lit(text_id).alias("text_id") if text_id else corpus_id(F.col("file"), pattern).alias("text_id") if pattern else F.regexp_replace("file", r"\.[^.]*$", "").alias("text_id"),
         F.when(one, F.array(F.col("line").cast("string"))).otherwise(F.split(F.col("p")[0], "_")).alias("ref"),
         F.when(text == "", F.array().cast("array<string>")).otherwise(F.array(text)).alias("segment"),
         F.when(three, flag_bits(F.element_at("p", 3))).otherwise(F.lit(SENTENCE_START)).alias("flags"),
@@ -60,13 +61,13 @@ def corpus_id(path: Column, pattern: str) -> Column:
     return F.concat_ws("-", *[F.regexp_extract(path, regex, i + 1) for i in range(parts)]) if parts else F.lit("*all*")
 
 
-def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, pairs) of a file of pairs such as 0-1 2-NULL:0.5, with a key and a tab before them or not."""
-    from ..operators.word_alignment import from_pharaoh
+def read_alignments(spark: SparkSession, path: str, scores: bool = False) -> DataFrame:
+    """(ref, pairs) of a file of pairs such as 0-1 2-NULL:0.5, with a key and a tab before them or not; with scores on demand."""
+    from ..operators.word_alignment import from_pharaoh, from_pharaoh_scored
 
     rows = numbered_lines(spark, path).withColumn("p", F.split("value", "\t", 2))
     keyed = F.size("p") == 2
-    return rows.select("file", F.when(keyed, F.split(F.col("p")[0], "[-_]")).otherwise(F.array(F.col("line").cast("string"))).alias("ref"), from_pharaoh(F.element_at("p", -1)).alias("pairs"))
+    return rows.select("file", F.when(keyed, F.split(F.col("p")[0], "[-_]")).otherwise(F.array(F.col("line").cast("string"))).alias("ref"), (from_pharaoh_scored if scores else from_pharaoh)(F.element_at("p", -1)).alias("pairs"))
 
 
 def read_giza(spark: SparkSession, path: str) -> DataFrame:
@@ -84,10 +85,13 @@ def read_giza(spark: SparkSession, path: str) -> DataFrame:
 def write_parallel(parallel: DataFrame, path: str) -> None:
     """Three folders of aligned lines in reference order: source, target and references, <range> within ranges.
 
-    Spark writes sorted ranges of rows as files whose names are in order.
+    The rows are put in order once, in a table of their own, and each folder's files are written from it part
+    by part, so that lines of the three agree, also where references are equal.
     """
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).otherwise("")
-    rows = parallel.select("text_id", "ref", text("source_segment").alias("source"), text("target_segment").alias("target")).orderBy("text_id", "ref")
+    rows = parallel.select("text_id", "ref", text("source_segment").alias("source"), text("target_segment").alias("target"))
+    rows.orderBy("text_id", "ref", "source", "target").write.parquet(f"{path}/rows")
+    rows = parallel.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").orderBy("text_id", "ref", "source", "target")
     rows.select("source").write.text(f"{path}/source")
     rows.select("target").write.text(f"{path}/target")
     rows.select(F.concat_ws(" ", F.col("text_id").cast("string"), F.col("ref").cast("string"))).write.text(f"{path}/refs")

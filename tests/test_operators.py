@@ -1,6 +1,7 @@
 """Row operations, alignment of corpora and text functions against known values."""
 
 import pytest
+from corpusloom.functions import segments
 from corpusloom.functions import text as fn
 from corpusloom.operators import joins, rows
 from corpusloom.sources import text_files
@@ -99,7 +100,7 @@ def test_latin_abbreviations(spark):
 
 def test_latin_detokenize(spark):
     for text in ("This isn't a test.", "He had $50.", 'He said, "Hi!"', "(a) and/or b"):
-        assert one(spark, text, lambda c: fn.latin_detokenize(fn.latin_tokens(c))) == text
+        assert one(spark, text, lambda c: segments.latin_detokenize(fn.latin_tokens(c))) == text
 
 
 def test_text_functions(spark):
