@@ -47,8 +47,19 @@ def diagonal_prior(i: Column, j: Column, n_source: Column, n_target: Column, ten
     return F.exp(-tension * F.abs((i + 1) / n_source - (j + 1) / n_target))
 
 
-def train_diagonal(parallel: DataFrame, iterations: int = 4, null_share: float = 0.08, tension: float = 4.0) -> DataFrame:
-    """IBM-1's rounds with positions weighed by their distance from the diagonal; (src, trg, prob)."""
+def digamma(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function for positive numbers: shifted up by 6, then its series."""
+    y = x + 6
+    series = F.ln(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6) + 1 / (240 * y**8)
+    return series - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+
+
+def train_diagonal(parallel: DataFrame, iterations: int = 4, null_share: float = 0.08, tension: float = 4.0, alpha: float | None = 0.01) -> DataFrame:
+    """IBM-1's rounds with positions weighed by their distance from the diagonal; (src, trg, prob).
+
+    alpha is the Dirichlet prior of variational Bayes, by which rare pairs lose (probabilities of a source
+    word then add up to less than 1); without it, counts are divided by their sum.
+    """
     sizes = parallel.select("seg", F.size("target_segment").alias("n_target"))
     pairs = word_pairs(parallel).join(sizes, "seg")
     prior = F.when(F.col("i") < 0, 0.0).otherwise(diagonal_prior(F.col("i"), F.col("j"), F.col("n_source"), F.col("n_target"), tension))
@@ -61,8 +72,9 @@ def train_diagonal(parallel: DataFrame, iterations: int = 4, null_share: float =
         rows = pairs.withColumn("p", F.lit(1.0)) if table is None else pairs.join(table.withColumnRenamed("prob", "p"), ["src", "trg"])
         sums = rows.groupBy("seg", "j").agg(F.sum(F.col("p") * F.col("w")).alias("z"))
         counts = rows.join(sums, ["seg", "j"]).groupBy("src", "trg").agg(F.sum(F.col("p") * F.col("w") / F.col("z")).alias("c"))
-        totals = counts.groupBy("src").agg(F.sum("c").alias("total"))
-        table = counts.join(totals, "src").select("src", "trg", (F.col("c") / F.col("total")).alias("prob"))
+        totals = counts.groupBy("src").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        share = F.col("c") / F.col("total") if alpha is None else F.exp(digamma(F.col("c") + alpha) - digamma(F.col("total") + alpha * F.col("kinds")))
+        table = counts.join(totals, "src").select("src", "trg", share.alias("prob"))
         table = stash(table, "diagonal")
     return table
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, joins, morphology, statistics, word_alignment
+from ..operators import evaluation, graph, hmm, joins, morphology, statistics, word_alignment
 from .corpus import TOKENS_SQL, tokens
 from .joins import sides
 from .registry import query, table
@@ -233,6 +233,29 @@ def symmetrize_gdfa(spark, sf_dir):
     return both.select("seg", word_alignment.to_pharaoh(F.col("pairs")).alias("pairs"))
 
 
+@query("diagonal_ttable")
+def diagonal_ttable(spark, sf_dir):
+    return word_alignment.train_diagonal(_parallel(spark, sf_dir))
+
+
+@query("hmm_pairs")
+def hmm_pairs(spark, sf_dir):
+    rows = _parallel(spark, sf_dir)
+    return hmm.align_hmm(rows, *hmm.train_hmm(rows)).select("seg", word_alignment.to_pharaoh(F.col("pairs")).alias("pairs"))
+
+
+@query("translation_scores")
+def translation_scores(spark, sf_dir):
+    rows = _parallel(spark, sf_dir)
+    return word_alignment.average_translation_score(rows, word_alignment.train_ibm1(rows))
+
+
+@query("truecase_rows")
+def truecase_rows(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[\p{L}]+|[^\s\p{L}]"), F.lit(0)).alias("tokens"), F.lit(True).alias("sentence_start"))
+    return morphology.truecase(docs, truecase_model(spark, sf_dir), ["doc_id"])
+
+
 @query("dbscan_embeddings")
 def dbscan_embeddings(spark, sf_dir):
     points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
