@@ -28,3 +28,20 @@ def priority_union(a: Column, b: Column) -> Column:
     """a with b's features, which go before a's."""
     return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(y, x))
 
+
+
+def union(a: Column, b: Column) -> Column:
+    """What either structure allows: features that both have, with all their symbols."""
+    both = F.map_zip_with(a, b, lambda k, x, y: x.bitwiseOR(y))
+    return F.map_filter(both, lambda k, v: v.isNotNull())
+
+
+def add(a: Column, b: Column) -> Column:
+    """a with b's features, symbols of features that both have put together."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x.bitwiseOR(y), x, y))
+
+
+def subtract(a: Column, b: Column) -> Column:
+    """a without b's symbols; a feature without any left goes."""
+    left = F.map_zip_with(a, b, lambda k, x, y: F.when(y.isNull(), x).otherwise(x.bitwiseAND(F.bitwise_not(y))))
+    return F.map_filter(left, lambda k, v: v.isNotNull() & (v != 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, statistics, word_alignment
+from ..operators import evaluation, features, quote_resolution, statistics, word_alignment
 from .corpus import tokens
 from .models import BIGRAM_SQL, cond_freq_by_lang, confidences, text_tokens, word_frequency
 from .registry import query, table
@@ -137,7 +137,7 @@ def symmetrized_table(spark, sf_dir):
 
 @query(
     "top_translations",
-    "SELECT src, trg, round(prob, 9) AS prob, rank FROM (SELECT src, trg, prob, row_number() OVER (PARTITION BY src ORDER BY prob DESC, trg) AS rank FROM (SELECT l_returnflag AS src, l_suppkey::VARCHAR AS trg, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS prob FROM lineitem GROUP BY ALL) WHERE prob > 0.0001) WHERE rank <= 5",
+    "SELECT src, trg, round(prob, 9) AS prob, rank FROM (SELECT src, trg, prob, row_number() OVER (PARTITION BY src ORDER BY prob DESC, trg) AS rank FROM (SELECT src, trg, n / sum(n) OVER (PARTITION BY src) AS prob FROM (SELECT l_returnflag AS src, l_suppkey::VARCHAR AS trg, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE prob > 0.0001) WHERE rank <= 5",
 )
 def top_translations(spark, sf_dir):
     counts = statistics.frequency(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("src"), F.col("l_suppkey").cast("string").alias("trg")), "src", "trg")
@@ -160,3 +160,25 @@ def token_vocabulary(spark, sf_dir):
     words = statistics.frequency(table(spark, sf_dir, "benchmark").select(F.explode(F.transform(tokens(), F.lower)).alias("word")), "word").withColumnRenamed("cnt", "n")
     top = words.orderBy(F.desc("n"), "word").limit(500)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("bigint"))
+
+
+@query(
+    "feature_operations",
+    """WITH e AS (SELECT event_id, event_id % 7 + 1 AS a, user_id % 7 + 1 AS b FROM events)
+    SELECT event_id, a | b AS united, a | b AS added, nullif(a & ~b, 0) AS subtracted FROM e""",
+)
+def feature_operations(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("t"), F.col("event_id") % 7 + 1).alias("a"), F.create_map(F.lit("t"), F.col("user_id") % 7 + 1).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    made = {"united": features.union(a, b), "added": features.add(a, b), "subtracted": features.subtract(a, b)}
+    return rows.select("event_id", *[F.try_element_at(c, F.lit("t")).alias(n) for n, c in made.items()])
+
+
+@query("quote_resolved")
+def quote_resolved(spark, sf_dir):
+    return quote_resolution.resolved(table(spark, sf_dir, "documents"), ["doc_id"], "typewriter_english")
+
+
+@query("quote_detected")
+def quote_detected(spark, sf_dir):
+    return quote_resolution.detect(table(spark, sf_dir, "documents"), ["source"])
