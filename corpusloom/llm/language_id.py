@@ -29,6 +29,9 @@ RIDGE = 1e-3
 ORDERS = 4
 BITS = 24
 
+#: Texts that are scored by one matrix product; a row has as many columns as the landmarks have n-grams.
+BLOCK = 12
+
 UNDETERMINED = "und"
 _SPACE = np.array([32], np.uint32)
 _STEP, _SPREAD, _SHIFT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(32 - BITS)
@@ -73,15 +76,15 @@ class Kernel:
         """One row of regression values a text."""
         out = np.zeros((len(texts), len(self.languages)), np.float32)
         seen = np.zeros(1 << BITS, bool)
-        for start in range(0, len(texts), 64):
-            part = texts[start : start + 64]
-            rows, size = np.empty((len(part), len(self.ids)), bool), np.empty((len(part), 1), np.float32)
+        for start in range(0, len(texts), BLOCK):
+            part = texts[start : start + BLOCK]
+            rows, size = np.empty((len(part), len(self.ids)), np.float32), np.empty((len(part), 1), np.float32)
             for i, t in enumerate(part):
                 ids = np.sort(ngram_ids(t))
                 seen[ids] = True
                 rows[i], size[i] = seen[self.ids], 1 + np.count_nonzero(ids[1:] != ids[:-1])
                 seen[ids] = False
-            out[start : start + 64] = rows.astype(np.float32) @ self.weights / np.sqrt(np.maximum(size, 1))
+            out[start : start + BLOCK] = rows @ self.weights / np.sqrt(np.maximum(size, 1))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -26,7 +26,7 @@ from .common import arrow_map
 from .vocab import BYTE, NORMAL, SPACE, UNUSED, USER, pieces
 
 #: Words that a worker memoizes; beyond it new words are encoded each time.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 250_000
 #: Longer words, such as encoded files, are worked through each time, so that the memo is bounded in bytes.
 MEMO_CHARS = 40
 
