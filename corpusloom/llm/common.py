@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..storage import shared_dir, stash
 
-__all__ = ["arrow_map", "bounded", "mix", "shared_dir", "shingles", "stash", "table"]
+__all__ = ["arrow_map", "bounded", "join_counted", "mix", "shared_dir", "shingles", "stash", "table"]
 
 #: Rows per Arrow batch: 1,000 very long texts still fit a small Python worker.
 ARROW_ROWS = 1000
@@ -128,3 +129,26 @@ def shingles(joined: bytes, k: int) -> np.ndarray:
     if not r.n:
         return np.zeros(0, np.uint64)
     return np.unique(r.grams(min(k, r.n)))
+
+
+#: A key with more than this share of a table's rows is joined by broadcast; there are at most as many such keys.
+HOT_SHARE = 1 / 1024
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n", small: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined with a table at rest of one row for each of their keys, n saying how many rows have it.
+
+    A small table is broadcast by its counted bytes. Of a large one, only the hot keys are, of which there are at
+    most 1 / HOT_SHARE by their definition; the rows of all others are shuffled, and no task gets a hot key. Null keys are
+    equal to each other.
+    """
+    groups = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    gone = [f"__{k}" for k in keys]
+    if n_bytes(groups) <= small:
+        return rows.join(F.broadcast(groups), same).drop(*gone)
+    most = groups.agg(F.sum(n)).first()[0] * HOT_SHARE
+    hot = F.broadcast(groups.where(F.col(n) > most))
+    of_hot = rows.join(hot, same).drop(*gone)
+    others = rows.join(hot.select(*gone), same, "left_anti").join(groups.where(F.col(n) <= most), same).drop(*gone)
+    return of_hot.unionByName(others)

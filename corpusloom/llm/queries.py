@@ -25,6 +25,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+EXACT_DEDUP = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import digests
@@ -94,3 +100,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extraction import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_exact_dedup", EXACT_DEDUP)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
