@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,14 +34,9 @@ def ranked(keys: DataFrame, order: list[str], tag: str) -> DataFrame:
     rows = keys.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
     rows = stash(rows, tag)
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    starts, before = [], 1
-    for p, n in sizes:
-        starts.append((p, before))
-        before += n
-    starts = F.broadcast(keys.sparkSession.createDataFrame(starts, "__part bigint, __start bigint"))
-    out = rows.withColumn("__part", part).join(starts, "__part")
-    return out.withColumn("name", F.col("__start") + place).drop("__at", "__part", "__start")
+    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts = list(accumulate((sizes.get(p, 0) for p in range(max(sizes, default=0))), initial=1))
+    return rows.withColumn("name", F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), part.cast("int")) + place).drop("__at")
 
 
 def _hash(block: Column) -> Column:

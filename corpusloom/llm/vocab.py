@@ -56,3 +56,10 @@ def pieces(path: str) -> list[tuple[str, float, int]]:
                 got = dict(_fields(body))
                 out.append((got.get(1, b"").decode(), got.get(2, 0.0), got.get(3, NORMAL)))
     return out
+
+
+def normalizer(path: str) -> dict[str, bool]:
+    """What a SentencePiece file does to a text first: nothing (identity), a space put before it (prefix), runs of spaces squeezed."""
+    with open(path, "rb") as f:
+        spec = dict(next((list(_fields(body)) for number, body in _fields(f.read()) if number == 3), []))
+    return {"identity": not spec.get(2), "prefix": bool(spec.get(3, 1)), "squeezed": bool(spec.get(4, 1))}
