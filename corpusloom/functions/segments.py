@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain, zip_longest
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DELAYED_ENDS, INNER, SENTENCE_TERMINALS
+from .text import DELAYED_ENDS, SENTENCE_TERMINALS, latin_pattern
 
 #: Quotation marks by the kind that closes what it opened. Fixed values.
-QUOTE_KINDS = {c: kind for kind, marks in {"double": '"“”„‟', "single": "'‘’‚‛", "angles": "«»", "angle": "‹›"}.items() for c in marks}
+QUOTE_KINDS = {c: kind for kind, marks in {"d": '"“”„‟', "s": "'‘’‚‛", "a": "«»", "g": "‹›"}.items() for c in marks}
 #: Marks that keep to the word after them. Fixed values.
 OPENERS = "([{¿¡<"
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
@@ -32,35 +33,44 @@ def normalize(text: Column, form: str = "NFC") -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(apply(text))
 
 
-def _merge(token: str, open_quotes: list[str]) -> str:
-    """Where a token of Latin script keeps to its neighbours: left, right, both or none."""
-    c = token[0]
-    if unicodedata.category(c) == "Sc" or c in OPENERS:
-        return "right"
-    if c in QUOTE_KINDS:
-        if open_quotes and open_quotes[-1] == QUOTE_KINDS[c]:
-            open_quotes.pop()
-            return "left"
-        open_quotes.append(QUOTE_KINDS[c])
-        return "right"
-    if c in "/\\":
-        return "both"
-    return "left" if unicodedata.category(c)[0] == "P" or c == ">" else "none"
+#: The side of a token on which no space stands, by its first character, else by the character's category: the word after
+#: it (R), the word before it (L), both (B); none is N.
+SIDES = {**dict.fromkeys(OPENERS, "R"), ">": "L", "/": "B", "\\": "B"}
+CATEGORY_SIDES = {"Sc": "R", **dict.fromkeys(("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po"), "L")}
+
+
+def _closes(kinds: list[str]) -> list[bool]:
+    """Whether each quotation mark closes: if the last one that is still open is of its kind."""
+    still_open, out = "", []
+    for kind in kinds:
+        out.append(still_open.endswith(kind))
+        still_open = still_open[:-1] if out[-1] else still_open + kind
+    return out
+
+
+def _sides(tokens: list[str]) -> list[str]:
+    heads = [t[0] for t in tokens]
+    closes = iter(_closes([QUOTE_KINDS[c] for c in heads if c in QUOTE_KINDS]))
+    return [("L" if next(closes) else "R") if c in QUOTE_KINDS else SIDES.get(c) or CATEGORY_SIDES.get(unicodedata.category(c), "N") for c in heads]
 
 
 def _joined(tokens: list[str], zero_width: bool) -> str:
-    quotes: list[str] = []
+    """The tokens with a gap wherever neither neighbour keeps to the other.
+
+    With zero_width the gap is a zero-width space, but a space beside a mark that opens or closes; tokens of white space are their own gap.
+    """
     tokens = [t for t in tokens if t]
-    merges = ["both" if zero_width and t[0].isspace() else _merge(t, quotes) for t in tokens]
-    mark = lambda i: unicodedata.category(tokens[i][0])[0] == "P"
-    out = tokens[:1]
-    for i in range(1, len(tokens)):
-        before, here = merges[i - 1], merges[i]
-        if before not in ("right", "both") and here not in ("left", "both"):
-            wide = not zero_width or here == "right" and mark(i) or before == "left" and mark(i - 1)
-            out.append(" " if wide else "​")
-        out.append(tokens[i])
-    return "".join(out)
+    sides = ["B" if zero_width and t[0].isspace() else side for t, side in zip(tokens, _sides(tokens), strict=True)]
+    marks = [unicodedata.category(t[0]).startswith("P") for t in tokens]
+
+    def gap(i: int) -> str:
+        if sides[i] in "RB" or sides[i + 1] in "LB":
+            return ""
+        beside = marks[i] and sides[i] == "L" or marks[i + 1] and sides[i + 1] == "R"
+        return " " if beside or not zero_width else "\u200b"
+
+    gaps = [gap(i) for i in range(len(tokens) - 1)]
+    return "".join(chain.from_iterable(zip_longest(tokens, gaps, fillvalue="")))
 
 
 def _detokenizer(zero_width: bool):
@@ -89,41 +99,32 @@ def whitespace_detokenize(tokens: Column) -> Column:
 def _latin(abbreviations: tuple[str, ...]):
     import regex
 
-    word = r"[^\s\p{P}\p{S}\p{Cc}]+"
-    address = r"(?<![^\s\p{P}\p{S}])(?i:[a-z][a-z0-9+.-]*:/{1,2}|www\.)[^\s()<>]*(?:[^\s()<>\p{P}]|/)"
-    short = "(?<![^\\s\\p{P}])(?i:" + "|".join(map(regex.escape, abbreviations)) + r")\.|" if abbreviations else ""
-    return regex.compile(rf"{short}{address}|{word}(?:(?:{INNER}){word})*|((?!\s)[\p{{P}}\p{{S}}\p{{Cc}}])\1*")
+    return regex.compile(latin_pattern(abbreviations))
 
 
 def _words(line: str, abbreviations: tuple[str, ...]) -> list[tuple[int, int]]:
     return [m.span() for m in _latin(abbreviations).finditer(line)]
 
 
+#: Sentences over a string with a letter for each token: T sentence terminals, C closing marks, l a lower-case word, w any other.
+#: A sentence ends with a terminal and the closing marks after it, unless a lower-case word follows such marks. A
+#: terminal at a sentence's beginning is none, but for the first of a line.
+SENTENCE = re.compile(r"(?:\A|.)[^T]*TC*(?:(?<=C)l[^T]*TC*)*")
+
+
+def _letter(token: str) -> str:
+    for letter, chars in (("T", SENTENCE_TERMINALS), ("C", DELAYED_ENDS)):
+        if set(token) <= set(chars):
+            return letter
+    return "l" if token[0].islower() else "w"
+
+
 def _sentences(line: str, abbreviations: tuple[str, ...]) -> list[tuple[int, int]]:
-    """A sentence goes from a word up to a terminal and the closing marks after it; a lower-case word after such marks goes on."""
-    out: list[tuple[int, int]] = []
-    start = end = None
-    ended, closed = False, False
-    for a, b in _words(line, abbreviations):
-        token = line[a:b]
-        if start is None:
-            start = a
-        elif ended and all(c in DELAYED_ENDS for c in token):
-            closed = True
-            end = b
-            continue
-        elif ended:
-            if not (closed and token[0].islower()):
-                out.append((start, end))
-                start = a
-            ended = closed = False
-            end = b
-            continue
-        ended = ended or all(c in SENTENCE_TERMINALS for c in token)
-        end = b
-    if start is not None:
-        out.append((start, end if ended else len(line)))
-    return out
+    """Where the sentences of a line begin and end; what follows the last full one goes up to the end of the line."""
+    spans = _words(line, abbreviations)
+    found = [m.span() for m in SENTENCE.finditer("".join(_letter(line[a:b]) for a, b in spans))]
+    rest = found[-1][1] if found else 0
+    return [(spans[i][0], spans[j - 1][1]) for i, j in found] + [(a, len(line)) for a, _ in spans[rest : rest + 1]]
 
 
 def _ranges(find, by_line: bool):

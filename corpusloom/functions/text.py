@@ -121,17 +121,33 @@ def null_tokens(text: Column) -> Column:
     return F.array(text)
 
 
-def zwsp_tokens(text: Column) -> Column:
-    """Tokens between zero-width spaces or byte-order marks; real white space beside them is dropped."""
+def zwsp_words(text: Column) -> Column:
+    """What stands between zero-width spaces or byte-order marks; real white space beside them is dropped."""
     return F.filter(F.transform(F.split(text, "[\\x{200B}\\x{FEFF}]+", -1), lambda t: F.trim(t)), lambda t: t != "")
 
 
 #: Marks that may stand between the letters of one word. Fixed values.
 INNER = r"[&\-.:=,?@­·‐‑’‧]|['_]+"
-#: A web address from the start of a token on: a scheme with slashes, or www and a point, then characters that
-#: are no white space or brackets, up to the last that is a slash or no punctuation.
-ADDRESS = r"(?<![^\s\p{P}\p{S}])(?i:[a-z][a-z0-9+.-]*:/{1,2}|www\.)[^\s()<>]*(?:[^\s()<>\p{P}]|/)"
-LATIN = rf"(?U){ADDRESS}|[^\s\p{{P}}\p{{S}}\p{{Cc}}]+(?:(?:{INNER})[^\s\p{{P}}\p{{S}}\p{{Cc}}]+)*|([\p{{P}}\p{{S}}\p{{Cc}}&&[^\s]])\1*"
+#: Runs of one same mark.
+_RUN = r"((?!\s)[\p{P}\p{S}\p{Cc}])\1*"
+#: What parts words in scripts without spaces.
+ZERO_WIDTH = "\u200b\ufeff"
+
+
+def address_pattern(apart: str = "") -> str:
+    """A web address: a scheme with two slashes, or www and a point, at a token's start; then stretches that end in a
+    slash or another character that is no punctuation, so that marks after the address are left out. Brackets and white space end it."""
+    start = r"(?<![^\s\p{P}\p{S}])"
+    head = r"(?:[A-Za-z][A-Za-z0-9+.-]*://|[Ww]{3}\.)"
+    marks, body = r"(?:(?![/()<>])\p{P})*", rf"(?:/|[^\s()<>\p{{P}}{apart}])"
+    return f"{start}{head}(?:{marks}{body})+"
+
+
+def latin_pattern(abbreviations: tuple[str, ...] = (), apart: str = "") -> str:
+    """One pattern for all tokens of Latin script; abbreviations come first, then addresses. Characters of apart are in no token."""
+    word = rf"[^\s\p{{P}}\p{{S}}\p{{Cc}}{apart}]+"
+    short = [r"(?<![^\s\p{P}])(?i:" + "|".join(re.escape(a) for a in abbreviations) + r")\."] if abbreviations else []
+    return "|".join([*short, address_pattern(apart), f"{word}(?:(?:{INNER}){word})*", _RUN])
 
 
 def latin_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
@@ -139,7 +155,13 @@ def latin_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
 
     An abbreviation (given in lower case, without its point) keeps the point that follows it.
     """
-    pattern = LATIN
-    if abbreviations:
-        pattern = LATIN.replace("(?U)", "(?U)(?<![^\\s\\p{P}])(?i:" + "|".join(re.escape(a) for a in abbreviations) + ")[.]|", 1)
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + latin_pattern(abbreviations)), F.lit(0))
+
+
+def zwsp_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column:
+    """Tokens of scripts whose words are parted by zero-width spaces: latin_tokens between these, and white space itself.
+
+    A run of white space is a token unless there is more white space or punctuation beside it.
+    """
+    space = r"(?<![\s\p{P}])\s+(?![\s\p{P}])"
+    return F.regexp_extract_all(text, F.lit(f"(?U){space}|{latin_pattern(abbreviations, ZERO_WIDTH)}"), F.lit(0))

@@ -87,7 +87,7 @@ ZWSP_SQL = "list_filter(list_transform(string_split(replace(text, ' ', chr(8203)
 @query("zwsp_tokens", f"SELECT doc_id, len({ZWSP_SQL}) AS n FROM documents")
 def zwsp_tokens(spark, sf_dir):
     text = F.replace(F.col("text"), F.lit(" "), F.lit("​"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(fn.zwsp_tokens(text)).cast("bigint").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(fn.zwsp_words(text)).cast("bigint").alias("n"))
 
 
 @query("zwsp_detokenize")

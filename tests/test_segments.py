@@ -108,6 +108,26 @@ def test_addresses(spark, text, want):
     assert one(spark, text, fn.latin_tokens) == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", []),
+        ("\u200b", []),
+        ("ក\u200bខ គ\u200bឃ។", ["ក", "ខ", " ", "គ", "ឃ", "។"]),
+        ("ก\u200bข?  ค «ง» จ.", ["ก", "ข", "?", "ค", "«", "ง", "»", "จ", "."]),
+        ("ก  ข 7,999 ค", ["ก", "  ", "ข", " ", "7,999", " ", "ค"]),
+        ("ก\ufeffข http://a.b/c\u200bง", ["ก", "ข", " ", "http://a.b/c", "ง"]),
+    ],
+)
+def test_zero_width_tokens(spark, text, want):
+    assert one(spark, text, fn.zwsp_tokens) == want
+
+
+@pytest.mark.parametrize("text, want", [("! No. «Yes.» he said. A", ["!", "No. «", "Yes.» he said.", "A"]), (". . a", [".", ". a"]), ("A. ) b. C", ["A. ) b.", "C"])])
+def test_sentences_of_marks(spark, text, want):
+    assert one(spark, text, segments.sentences) == want
+
+
 def test_detokenizers(spark):
     join = lambda f, *t: spark.createDataFrame([(list(t),)], "t array<string>").select(f(F.col("t")).alias("x")).first()["x"]
     assert join(segments.latin_detokenize, '"', "Is", "'", "it", "'", "?", '"', "he", "asked", "for", "$", "5", "/", "day", ".") == "\"Is 'it'?\" he asked for $5/day."
