@@ -8,7 +8,8 @@ their pair of ids, tell which tokens stand for each other.
 Both tokenizers part a text before a single space or new line between two characters that aren't white space: A's
 pattern begins a new word there, and B's pieces hold no space or new line but at their beginning (asked when the
 file is loaded). So a group never reaches over such a place, labels are made and read for the stretches between them,
-and those of frequent stretches are memoized in a dictionary of bounded size in each Python worker.
+those of short stretches are memoized in a
+dictionary of bounded size in each Python worker, and new ones are encoded a batch at once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import string
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +36,22 @@ MEMO_CHARS = 40
 #: Different pairs that a task counts before it hands them on.
 PAIRS_HELD = 1 << 20
 
-NONE, A_END, B_END, BOTH = b"\x00\x01\x02\x03"
+A_END, B_END = b"\x01\x02"
 _GROUP = re.compile(b"[\x00-\x02]*\x03")
-#: A stretch: it begins with the text or a single space or new line between other characters, and reaches to the next such place.
-_STRETCH = re.compile(r"(?:\A\s+|[ \n])\S+(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*")
+_LETTER = r"[^\W\d_\u00b2\u00b3\u00b9]"  # superscript digits have pieces with marks
+
+
+def stretch_pattern(marks: str) -> re.Pattern:
+    """Stretches begin with the text, or a single space or new line between other characters, and reach to the next such place.
+
+    Of a stretch of letters and then some of the given marks, the marks are a stretch of their own.
+    """
+    whole = r"(?:\A\s+|[ \n])\S+(?:(?:\s{2,}|[^\S \n]|\s\Z)\S*)*"
+    if not marks:
+        return re.compile(whole)
+    run = "[" + re.escape(marks) + "]"
+    end = r"(?=[ \n]\S|\Z)"
+    return re.compile(rf"[ \n]{_LETTER}+(?={run}+{end})|(?<={_LETTER}){run}+{end}|{whole}")
 
 
 def byte_characters() -> dict[str, int]:
@@ -48,10 +63,13 @@ def byte_characters() -> dict[str, int]:
 
 def labels(a_sizes: list[int], b_sizes: list[int]) -> bytes:
     """A label for each byte, of two ways to cut as many bytes."""
-    out = np.zeros(sum(a_sizes), np.uint8)
-    out[np.cumsum(a_sizes) - 1] |= A_END
-    out[np.cumsum(b_sizes) - 1] |= B_END
-    return out.tobytes()
+    out = bytearray(sum(a_sizes))
+    for sizes, end in ((a_sizes, A_END), (b_sizes, B_END)):
+        at = -1
+        for n in sizes:
+            at += n
+            out[at] |= end
+    return bytes(out)
 
 
 def groups(a: list[int], b: list[int], marks: bytes) -> list[tuple[list[int], list[int]]]:
@@ -83,7 +101,10 @@ class Aligner:
         if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or file["normalizer"] or added:
             raise ValueError("A must be a byte-level tokenizer without normalizer, prefix space and ordinary added tokens")
         chars = byte_characters()
-        self.a_bytes = {i: bytes(chars[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if set(t) <= chars.keys()}
+        vocabulary = {t: i for t, i in self.a.get_vocab(with_added_tokens=False).items() if set(t) <= chars.keys()}
+        if not chars.keys() <= vocabulary.keys():
+            raise ValueError("A must have a token for each byte")
+        self.a_sizes, self.a_names = {i: len(t) for t, i in vocabulary.items()}, {i: str(i) for i in vocabulary.values()}
         vocab = pieces(b_path)
         if any(t in (NORMAL, USER) and (SPACE in p.lstrip(SPACE) or "\n" in p) for p, _, t in vocab):
             raise ValueError("B's pieces must not reach over a space or hold a new line")
@@ -91,55 +112,80 @@ class Aligner:
             raise ValueError("B must put a space before a text, and not change it otherwise")
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() for p, _, t in vocab]
+        self.b_names = [str(i) for i in range(len(vocab))]
         self.space = self.b.piece_to_id(SPACE)
         self.wide = max(self.a.get_vocab_size(), len(vocab)) > 1 << 16
-        self.kind = np.dtype("<u8" if self.wide else "<u4")
+        self.kind = "Q" if self.wide else "I"
         self.shift = 32 if self.wide else 16
+        self.pattern = stretch_pattern(self.marks({p for p, _, t in vocab if t in (NORMAL, USER)}))
         self.memo: dict[str, tuple] = {}
 
-    def tokens(self, stretch: str) -> tuple[list[int], list[int]]:
-        """Ids of a stretch on both sides; it begins with the text's space, or where both tokenizers part."""
-        a = self.a.encode(stretch, add_special_tokens=False).ids
-        if stretch[0] == " ":
-            return a, self.b.encode(stretch[1:])
-        first, *b = self.b.encode(stretch)  # a new line, which doesn't merge with the space that B puts before it
-        assert first == self.space
-        return a, b
-
-    def _made(self, stretch: str) -> tuple[bytes, bytes, int, int, bool]:
-        """Groups as text, links, tokens of A and of B; and whether both sides spell the stretch."""
-        a, b = self.tokens(stretch)
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        spelled = stretch.encode()
-        if b"".join(a_parts) != spelled or b"".join(b_parts) != spelled:
-            return b"", b"", 0, 0, False
-        made = groups(a, b, labels([len(p) for p in a_parts], [len(p) for p in b_parts]))
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in made]).encode()
-        return text, np.array([x[-1] << self.shift | y[-1] for x, y in made], self.kind).tobytes(), len(a), len(b), True
-
-    def _stretch(self, stretch: str) -> tuple:
-        made = self.memo.get(stretch) or self._made(stretch)
-        if len(stretch) <= MEMO_CHARS and len(self.memo) < MEMO_STRETCHES:
-            self.memo[stretch] = made
-        return made
-
-    def align(self, text: str | None) -> tuple[int, int, bytes, bytes] | None:
-        """(tokens of A, tokens of B, groups as text, links) of space and text; None if a side doesn't spell these."""
-        if not text:
-            return None
-        whole = " " + text
-        stretches = _STRETCH.findall(whole)
-        if sum(map(len, stretches)) != len(whole):
-            stretches = [whole]
-        memo = self.memo
-        got = [memo[s] if s in memo else self._stretch(s) for s in stretches]
-        good = [g[4] for g in got]
-        if not all(good):
-            got = [self._made(whole)]
-            if not got[0][4]:
-                return None
-        texts, links, a, b, _ = zip(*got, strict=True)
-        return sum(a), sum(b), b";".join(texts), b"".join(links)
+    @staticmethod
+    def marks(vocabulary: set[str]) -> str:
+        """Marks that no piece has after a letter, so that B parts between the two, as A does. The apostrophe begins A's contractions."""
+        joined = {p[i + 1] for p in vocabulary for i in range(len(p) - 1) if re.match(_LETTER, p[i])}
+        return "".join(m for m in string.punctuation if m != "'" and m not in joined)
+
+    def tokens(self, stretches: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
+        """(stretch, ids of A, ids of B); a stretch begins with the text's space, or where both tokenizers part."""
+        of_a = self.a.encode_batch_fast(stretches, add_special_tokens=False)
+        of_b = self.b.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        for s, a, b in zip(stretches, of_a, of_b, strict=True):
+            if s[0] != " " and b[0] == self.space:  # B puts a space before it
+                b = b[1:]
+            elif s[0] != " ":  # which has become part of a piece: a new line keeps them apart
+                b = self.b.encode("\n" + s)[2:]
+            yield s, a.ids, b
+
+    def made(self, stretches: list[str]) -> dict[str, tuple[bytes, bytes, int, int, bool]]:
+        """Of each: groups as text, links, tokens of A and of B; and whether both sides spell the stretch. A always does."""
+        out, a_sizes, b_bytes, kind, shift = {}, self.a_sizes, self.b_bytes, self.kind, self.shift
+        a_names, b_names = self.a_names, self.b_names
+        for s, a, b in self.tokens(stretches):
+            b_parts = [b_bytes[i] for i in b]
+            if b"".join(b_parts) != s.encode():
+                out[s] = b"", b"", 0, 0, False
+                continue
+            if len(a) > 1 and len(b) > 1:
+                found = groups(a, b, labels([a_sizes[i] for i in a], [len(p) for p in b_parts]))
+            else:
+                found = [(a, b)]  # only the end is an end of both
+            text = ";".join([f"{','.join([a_names[i] for i in x])}|{','.join([b_names[i] for i in y])}" for x, y in found]).encode()
+            out[s] = text, array(kind, [x[-1] << shift | y[-1] for x, y in found]).tobytes(), len(a), len(b), True
+        return out
+
+    def align(self, texts: list[str | None]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """(tokens of A, tokens of B, groups as text, links) of a space and each text; None if a side doesn't spell these."""
+        memo, cut = self.memo, self.pattern.findall
+        cuts = [cut(" " + t) if t else [] for t in texts]
+        cuts = [c if not t or sum(map(len, c)) == len(t) + 1 else [" " + t] for t, c in zip(texts, cuts, strict=True)]
+        fresh = self.made(list({s for c in cuts for s in c if s not in memo}))
+        short = [s for s in fresh if len(s) <= MEMO_CHARS]
+        memo.update((s, fresh[s]) for s in short[: MEMO_STRETCHES - len(memo)])
+        find = _Both(memo, fresh).__getitem__
+        out: list[tuple[int, int, bytes, bytes] | None] = []
+        for t, c in zip(texts, cuts, strict=True):
+            got = list(map(find, c))
+            if got and not all([g[4] for g in got]):  # the sides may spell the text all the same, parted elsewhere
+                whole = self.made([" " + t])[" " + t]
+                got = [whole] if whole[4] else []
+            if got:
+                groups_, links, a, b, _ = zip(*got, strict=True)
+                out.append((sum(a), sum(b), b";".join(groups_), b"".join(links)))
+            else:
+                out.append(None)
+        return out
+
+
+class _Both(dict):
+    """A batch's new stretches, and the memo for all others."""
+
+    def __init__(self, memo: dict, new: dict):
+        super().__init__(new)
+        self.memo = memo
+
+    def __missing__(self, stretch: str) -> tuple:
+        return self.memo[stretch]
 
 
 @lru_cache(maxsize=1)
@@ -157,10 +203,9 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(batch):
         al, cols = aligner(a_path, b_path), {n: [] for n in ("n_a", "n_b", "n_groups", "groups_sha256", "links")}
-        for t in batch.column(1).to_pylist():
-            got = al.align(t)
+        for got in al.align(batch.column(1).to_pylist()):
             n_a, n_b, text, links = got or (0, 0, b"", b"")
-            for n, v in zip(cols, (n_a, n_b, len(links) // al.kind.itemsize, hashlib.sha256(text).hexdigest() if got else "", links), strict=True):
+            for n, v in zip(cols, (n_a, n_b, len(links) // (8 if al.wide else 4), hashlib.sha256(text).hexdigest() if got else "", links), strict=True):
                 cols[n].append(v)
         return {"doc_id": batch.column(0)} | cols
 
@@ -178,8 +223,7 @@ def token_groups(docs: DataFrame, a_path: str, b_path: str, groups: str = "token
 
     def run(batch):
         al, out = aligner(a_path, b_path), []
-        for t in batch.column(kept.index("text")).to_pylist():
-            got = al.align(t)
+        for got in al.align(batch.column(kept.index("text")).to_pylist()):
             sides = [g.split("|") for g in got[2].decode().split(";")] if got else []
             out.append([{"a": list(map(int, x.split(","))), "b": list(map(int, y.split(",")))} for x, y in sides])
         return dict(zip(kept, batch.columns, strict=True)) | {groups: out}
@@ -273,5 +317,5 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, small: int = BROADCA
     al = Aligner(a_path, b_path)
     aligned = stash(alignments(docs, a_path, b_path), "alignments")
     pairs = stash(pair_counts(aligned, al.wide), "pair-counts")
-    out = (_looked_up if n_bytes(pairs) <= small else _joined)(aligned, pairs, al.kind)
+    out = (_looked_up if n_bytes(pairs) <= small else _joined)(aligned, pairs, np.dtype("<u8" if al.wide else "<u4"))
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")

@@ -83,9 +83,12 @@ def test_groups_and_labels():
 
 
 def test_stretches_join_to_the_text():
+    patterns = ta.stretch_pattern(""), ta.Aligner(A, B).pattern
+    assert patterns[1].findall(" ab,. cd") == [" ab", ",.", " cd"] and patterns[1].findall(" ab,c") == [" ab,c"]
     for _, t in drawn(3000, 5):
-        got = ta._STRETCH.findall(" " + (t or ""))
-        assert not got or "".join(got) == " " + t
+        for pattern in patterns:
+            got = pattern.findall(" " + (t or ""))
+            assert not got or "".join(got) == " " + t
 
 
 def test_groups_column_memo_and_edges(spark):
@@ -95,5 +98,5 @@ def test_groups_column_memo_and_edges(spark):
     assert sorted(r["count_sum"] for r in ta.align_tokens(docs, A, B).collect()) == [0, 4, 4]
     assert ta.align_tokens(docs.limit(0), A, B).count() == 0
     al = ta.Aligner(A, B)
-    al.align("x" * 100_000 + " y")
+    al.align(["x" * 100_000 + " y", None])
     assert max(map(len, al.memo)) <= ta.MEMO_CHARS
