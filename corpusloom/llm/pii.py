@@ -13,9 +13,10 @@ the way its value is; numbers that only look like one stay as they are.
 - Social security numbers (3-2-4 digits): area, group and serial in use, permuted among those.
 - Dates of the calendar (Y-M-D, D.M.Y, D/M/Y with four-digit years from 400 on): permuted among the days
   of the Gregorian cycle of 400 years that they are in.
-- IPv4 addresses: four bytes, permuted among all addresses.
-- Telephone numbers: with a plus sign 8 to 15 digits after ITU E.164, else 3-3-4 digits. The national
-  digits are permuted, separators and country code stay.
+- IPv4 addresses: four bytes, permuted among all but those of four single digits, which, like numbers after a word
+  for versions, count as version numbers.
+- Telephone numbers: with a plus sign 8 to 15 digits after ITU E.164, of which the national ones are permuted; else 3-3-4
+  digits whose area and exchange begin with 2 to 9, permuted among those. Separators and country code stay.
 Values without a numeric format, e-mail addresses and secrets (hexadecimal keys of 32 digits or more,
 access tokens of well-known prefixes), get a keyed digest of their own length class: an address keeps
 the form of an address, a secret its length, a token its prefix too.
@@ -29,11 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The Spark setting that holds the key.
-KEY_SETTING = "spark.corpusloom.pii.key"
+KEY_SETTING = "spark.corpusloom.pii.secret"  # settings with this word are redacted in Spark's UI and logs
 ROUNDS = 8
 #: Days of the Gregorian cycle, 400 years; the product of the two moduli that dates are permuted by.
 CYCLE_DAYS = 146_097
 DATE_HALVES = (189, 773)
+#: North American area codes, or exchanges, and the numbers of a line.
+CODES, LINES = 800, 10_000
+#: How often an address that has become four single digits is permuted again; each time one in 430,000 does.
+WALK = 5
 #: Social security numbers in use: areas 1 to 899 but 666, groups 1 to 99, serials 1 to 9999.
 SSN_HALVES = (898 * 99, 9999)
 
@@ -73,10 +78,13 @@ TOKENS = {
 }
 
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}"
-IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
+#: Four numbers of one digit each, or after a word for versions, are a version number.
+IPV4 = r"(?<![0-9.])(?<!\b(?i:v|ver|version|release|rev|build)[ .:=]{0,2})(?![0-9](?:\.[0-9]){3}(?![0-9]))(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 NATIONAL = r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
-PHONE = rf"(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .-]?{NATIONAL}|{NATIONAL}|\+(?=(?:[ ().-]{{0,2}}[0-9]){{8,15}}(?![ .-]?[0-9]))[1-9][0-9]{{0,14}}(?:[ .-]?(?:\([0-9]{{1,5}}\)|[0-9]{{1,14}})){{0,7}})(?![0-9])"
+#: Without a country code, area and exchange are those that the North American plan gives out.
+AMERICAN = r"(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}"
+PHONE = rf"(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .-]?{NATIONAL}|{AMERICAN}|\+(?=(?:[ ().-]{{0,2}}[0-9]){{8,15}}(?![ .-]?[0-9]))[1-9][0-9]{{0,14}}(?:[ .-]?(?:\([0-9]{{1,5}}\)|[0-9]{{1,14}})){{0,7}})(?![0-9])"
 SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9]|-[0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"
 DATE = r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9])"
@@ -97,13 +105,22 @@ def session_key(spark: SparkSession) -> str:
     return spark.conf.get(KEY_SETTING)
 
 
-def _round(key: str, tweak: Column, i: Column, half: Column, modulus: Column) -> Column:
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """One row with the key as `secret`: a plan shows the column's name, not what it holds."""
+    return spark.sql("SELECT * FROM VALUES (:key) AS held(secret)", {"key": key})
+
+
+def _round(key: Column | str, tweak: Column, i: Column, half: Column, modulus: Column) -> Column:
     """A keyed hash of one half, below a modulus of at most 10 to the 15th."""
-    hexes = F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), half.cast("string")), 256)
+    hexes = F.sha2(F.concat_ws("|", _held(key), tweak, i.cast("string"), half.cast("string")), 256)
     return F.pmod(F.conv(F.substring(hexes, 1, 15), 16, 10).cast("bigint"), modulus)
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column, undo: bool = False) -> Column:
+def _held(key: Column | str) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
+
+
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Column | str, tweak: Column, undo: bool = False) -> Column:
     """(l, r) of the permuted pair of left (modulo a) and right (modulo b)."""
     steps = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS))])
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
@@ -123,7 +140,7 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def permute_digits(digits: Column, key: str, tweak: Column, undo: bool = False) -> Column:
+def permute_digits(digits: Column, key: Column | str, tweak: Column, undo: bool = False) -> Column:
     """A string of 2 to 30 digits, permuted among those of its length."""
     half = F.floor(F.length(digits) / 2).cast("int")
     rest = F.length(digits) - half
@@ -158,7 +175,7 @@ def _valid_card(value: Column) -> Column:
     return _let(_digits(value), lambda d: d.rlike(f"^(?:{ISSUERS})$") & (F.substring(d, -1, 1).cast("int") == luhn(F.substring(d, F.lit(1), F.length(d) - 1))))
 
 
-def _card(value: Column, key: str, undo: bool) -> Column:
+def _card(value: Column, key: Column | str, undo: bool) -> Column:
     def body(d: Column) -> Column:
         issuer, own = F.substring(d, 1, 4), F.substring(d, F.lit(5), F.length(d) - 5)
         payload = F.concat(issuer, permute_digits(own, key, F.concat(F.lit("card"), issuer), undo))
@@ -167,15 +184,25 @@ def _card(value: Column, key: str, undo: bool) -> Column:
     return refill(value, _let(_digits(value), body))
 
 
-def _phone(value: Column, key: str, undo: bool) -> Column:
+def _phone(value: Column, key: Column | str, undo: bool) -> Column:
+    def american(d: Column) -> Column:
+        part = lambda at, n: F.substring(d, at, n).cast("bigint")
+        a, b = (F.lit(x).cast("bigint") for x in (CODES * CODES, LINES))
+        made = feistel((part(1, 3) - 200) * CODES + part(4, 3) - 200, part(7, 4), a, b, key, F.lit("phone"), undo)
+        code = lambda x: (x.cast("bigint") + 200).cast("string")
+        return _let(made, lambda p: F.concat(code(F.floor(p["l"] / CODES)), code(F.pmod(p["l"], F.lit(CODES))), F.lpad(p["r"].cast("string"), 4, "0")))
+
     def body(d: Column) -> Column:
+        return F.when(value.startswith("+"), abroad(d)).otherwise(american(d))
+
+    def abroad(d: Column) -> Column:
         code = F.when(value.startswith("+"), F.regexp_extract(d, f"^({COUNTRY_CODE})", 1)).otherwise("")
         return _let(code, lambda c: F.concat(c, permute_digits(F.substring(d, F.length(c) + 1, F.length(d)), key, F.concat(F.lit("phone"), c), undo)))
 
     return refill(value, _let(_digits(value), body))
 
 
-def _ssn(value: Column, key: str, undo: bool) -> Column:
+def _ssn(value: Column, key: Column | str, undo: bool) -> Column:
     part = lambda d, at, n: F.substring(d, at, n).cast("bigint")
 
     def body(d: Column) -> Column:
@@ -191,10 +218,13 @@ def _ssn(value: Column, key: str, undo: bool) -> Column:
     return refill(value, _let(_digits(value), body))
 
 
-def _ipv4(value: Column, key: str, undo: bool) -> Column:
+def _ipv4(value: Column, key: Column | str, undo: bool) -> Column:
     part = lambda i: F.split_part(value, F.lit("."), F.lit(i)).cast("bigint")
     size = F.lit(65536).cast("bigint")
-    made = feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), size, size, key, F.lit("ipv4"), undo)
+    single = lambda s: (F.pmod(s["l"], F.lit(256)) < 10) & (s["l"] < 2560) & (F.pmod(s["r"], F.lit(256)) < 10) & (s["r"] < 2560)
+    permuted = lambda l, r: feistel(l, r, size, size, key, F.lit("ipv4"), undo)
+    first = permuted(part(1) * 256 + part(2), part(3) * 256 + part(4))
+    made = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda s, i: F.when(single(s), permuted(s["l"], s["r"])).otherwise(s))
     byte = lambda x, i: (F.floor(x / 256) if i == 0 else F.pmod(x, F.lit(256))).cast("bigint").cast("string")
     return _let(made, lambda p: F.concat_ws(".", byte(p["l"], 0), byte(p["l"], 1), byte(p["r"], 0), byte(p["r"], 1)))
 
@@ -205,7 +235,7 @@ def _parsed_date(value: Column) -> Column:
     return F.when(iso >= "0400", F.try_to_date(iso, "yyyy-MM-dd"))
 
 
-def _date(value: Column, key: str, undo: bool) -> Column:
+def _date(value: Column, key: Column | str, undo: bool) -> Column:
     start = F.lit("2000-01-01").cast("date")
 
     def body(day: Column) -> Column:
@@ -237,7 +267,7 @@ def _valid_iban(value: Column) -> Column:
     return _let(F.replace(value, F.lit(" "), F.lit("")), lambda v: F.substring(v, 3, 2).cast("int") == _check_digits(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 2)))
 
 
-def _iban(value: Column, key: str, undo: bool) -> Column:
+def _iban(value: Column, key: Column | str, undo: bool) -> Column:
     def body(v: Column) -> Column:
         country, rest = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
         new = refill(rest, permute_digits(_digits(rest), key, F.concat(F.lit("iban"), country, F.regexp_replace(rest, "[0-9]", "0")), undo))
@@ -246,20 +276,20 @@ def _iban(value: Column, key: str, undo: bool) -> Column:
     return refill(value, _let(F.replace(value, F.lit(" "), F.lit("")), body), "[A-Z0-9]")
 
 
-def _hashed(value: Column, kind: str, key: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lower(value)), 256)
+def _hashed(value: Column, kind: str, key: Column | str) -> Column:
+    return F.sha2(F.concat_ws("|", _held(key), F.lit(kind), F.lower(value)), 256)
 
 
-def _email(value: Column, key: str) -> Column:
+def _email(value: Column, key: Column | str) -> Column:
     return F.concat(F.lit("user"), F.substring(_hashed(value, "email", key), 1, 12), F.lit("@example.invalid"))
 
 
-def _secret(value: Column, key: str) -> Column:
+def _secret(value: Column, key: Column | str) -> Column:
     whole = F.concat(_hashed(value, "secret", key), _hashed(value, "secret+", key))
     return F.substring(F.repeat(whole, F.ceil(F.length(value) / 128).cast("int")), F.lit(1), F.length(value))
 
 
-def _token(value: Column, key: str) -> Column:
+def _token(value: Column, key: Column | str) -> Column:
     prefix = F.regexp_extract(value, f"^({'|'.join(TOKENS)})", 1)
     whole = F.concat(_hashed(value, "token", key), _hashed(value, "token+", key))
     return _let(prefix, lambda p: F.concat(p, F.substring(F.repeat(whole, F.ceil(F.length(value) / 128).cast("int")), F.lit(1), F.length(value) - F.length(p))))
@@ -275,7 +305,7 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(value: Column, key: Column | str, undo: bool = False) -> Column:
     """The pseudonym of one value, by the kind whose whole form it has; other values stay.
 
     undo gives a number's or a date's value back; digests can't be undone and stay.
@@ -305,11 +335,11 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
         raise ValueError("pseudonyms need a key")
     col = F.col(f"`{text}`")
     names = set(docs.columns)
-    v = next(f"__values{i}" for i in range(len(names) + 1) if f"__values{i}" not in names)
-    out = docs.withColumn(v, F.when(col.rlike(MAYBE), F.regexp_extract_all(col, F.lit(f"({ANY})"), F.lit(1))))
-    new = F.transform(F.col(v), lambda x: pseudonym(x, key))
+    v, held = (next(f"__{name}{i}" for i in range(len(names) + 1) if f"__{name}{i}" not in names) for name in ("values", "held"))
+    out = docs.withColumn(held, key_table(docs.sparkSession, key).scalar()).withColumn(v, F.when(col.rlike(MAYBE), F.regexp_extract_all(col, F.lit(f"({ANY})"), F.lit(1))))
+    new = F.transform(F.col(v), lambda x: pseudonym(x, F.col(held)))
     pieces = F.zip_with(F.split(col, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     out = out.withColumn(text, F.when(F.size(v) > 0, F.array_join(pieces, "")).otherwise(col))
     if count:
         out = out.withColumn(count, F.greatest(F.coalesce(F.size(F.filter(v, lambda x: kind_of(x).isNotNull())), F.lit(0)), F.lit(0)).cast("bigint"))
-    return out.drop(v)
+    return out.drop(v, held)

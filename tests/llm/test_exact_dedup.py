@@ -4,7 +4,7 @@ import hashlib
 import random
 
 import pytest
-from corpusloom.llm import common
+from corpusloom import sizes
 from corpusloom.llm.exact_dedup import exact_duplicates, ranked
 from pyspark.sql import functions as F
 
@@ -43,7 +43,7 @@ def test_hot_groups_by_either_join(spark, monkeypatch):
     rows = [(i, "copy " * 3 if i % 3 else f"text {i}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = expected(rows)
-    monkeypatch.setattr(common.join_counted, "__defaults__", ("n", 0))  # no table counts as small
+    monkeypatch.setattr(sizes.join_counted, "__defaults__", ("n", 0))  # no table counts as small
     assert got(docs, size=8) == want
 
 

@@ -141,3 +141,11 @@ def test_clashing_columns(spark):
     assert [r["doc_id"] for r in token_counts.token_counts(docs, tokenizer_path("piece_bpe_32k.model")).orderBy("doc_id").collect()] == [1, 2]
     got = token_files.write_and_read(docs, tokenizer_path("word_bpe_49k.json")).orderBy("doc_id").collect()
     assert [(r["start"], r["n_tokens"]) for r in got] == [(0, 3), (3, 1)]
+
+
+def test_pairs_of_pieces_are_remembered_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_PAIRS", 50)
+    c = sentencepiece_codec.Codec(PIECES)
+    for t in drawn(300, 8):
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == [1, *c.library.encode(t), 2], repr(t)
+    assert len(c.table.fits) == 50
