@@ -3,7 +3,7 @@
 Mark-up is read from left to right by the HTML standard's states of tags and attributes, each character
 once, so a page of any form takes time in proportion to its length. Two departures keep text that
 browsers would lose: a quotation mark that is never closed ends with its tag, and an element that hides
-its content hides nothing if it is never closed, scripts and styles apart.
+its content hides nothing if it is never closed, scripts and styles apart. A tag that never ends is text.
 """
 
 from __future__ import annotations
@@ -54,11 +54,13 @@ class Reader:
 
     def __init__(self, page: str):
         self.page = page
-        self.last = {c: page.rfind(c) for c in "\"'>"}
+        end = page.rfind(">")
+        # A quotation mark that closes only after the last tag's end closes nothing.
+        self.last = {">": end, **{c: page.rfind(c, 0, max(0, end)) for c in "\"'"}}
         self.open_ended: set[str] = set()  # hidden elements whose end doesn't come any more
 
     def tag(self, at: int) -> tuple[int, str, bool, bool, list[str]] | None:
-        """(end, name, is an end tag, closes itself, values of class, id and role) of the tag at '<'; None: it is text."""
+        """(end, name, is an end tag, closes itself, values of class, id and role) of the tag at '<'; None: it is text, as is a tag that never ends."""
         page = self.page
         closing = page.startswith("/", at + 1)
         name = _NAME.match(page, at + 1 + closing)
@@ -69,7 +71,7 @@ class Reader:
             gap = _GAP.match(page, i)
             i, slash = gap.end(), gap[0].endswith("/")
             if i > self.last[">"]:  # the page ends within the tag
-                return len(page), "", closing, slash, values
+                return None
             if page[i] == ">":
                 return i + 1, name[0].lower(), closing, slash, values
             attribute = _ATTRIBUTE.match(page, i)
@@ -95,7 +97,7 @@ class Reader:
             end = page.find("-->", at + 4) if at + 4 <= self.last[">"] else -1
             return end + 3 if end >= 0 else len(page)
         if page.startswith(("<!", "<?", "</"), at):
-            return page.find(">", at) + 1 if at < self.last[">"] else len(page)
+            return page.find(">", at) + 1 if at < self.last[">"] else None
         return None
 
     def hidden_end(self, name: str, at: int) -> int:
@@ -119,7 +121,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
             out.append(Block(text, stack[-1][0] if stack else None, linked))
         parts.clear()
@@ -142,7 +144,7 @@ def blocks(page: str | None) -> list[Block]:
         lt = page.find("<", at)
         end = len(page) if lt < 0 else lt
         if end > at:
-            parts.append(page[at:end])
+            parts.append(html.unescape(page[at:end]))  # a reference doesn't reach over a tag
             linked += (end - at) * (links > 0)
         if lt < 0:
             break
@@ -154,8 +156,6 @@ def blocks(page: str | None) -> list[Block]:
                 at = lt + 1
             continue
         at, tag, closing, closed, values = found
-        if not tag:
-            continue
         if tag in HIDDEN and not closing:
             if not closed:
                 at = reader.hidden_end(tag, at)
