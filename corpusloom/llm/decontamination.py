@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_
     Repeated documents get equal rows, an empty table none.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = benchmark.agg(F.sum(F.octet_length("text") + 50)).first()[0] or 0
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 50)).first()[0] or 0
     if size <= item_bytes:
         items = docs.sparkSession.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]))
 

@@ -24,6 +24,8 @@ from .common import arrow_map, bounded, stash
 #: Bounds of the labelled sample that the classifier is fitted on, landmarks included. Each language has an
 #: equal part, one text at least, so beyond so many languages there are as many rows.
 TRAIN_ROWS = 2400
+#: Bytes of their texts at most.
+TRAIN_BYTES = 64 << 20
 LANDMARKS = 240
 RIDGE = 1e-3
 ORDERS = 4
@@ -149,16 +151,22 @@ def held_out():
     return F.coalesce(bucket(5) == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Kernel:
-    """Fit on at most some rows for each language, chosen by a hash; rows is the bound for all together."""
+def learn(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Kernel:
+    """Fit on a bounded sample: rows and size, in bytes, are the bounds for all languages together, shared evenly among them.
+
+    Of each language rows are taken in the order of a hash, texts that alone are over a language's bytes after all others, until
+    either bound is met; one text of each language is taken in any case.
+    """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = stash(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     quota = max(1, rows // max(1, counts.count()))
     chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     # Thinned to a little more than the quota before rows of a language are put in order.
     thin = known.select("doc_id", "lang", "text", chance.alias("chance")).join(bounded(counts), "lang").where(F.col("chance") * F.col("n") <= 1.5 * quota + 20)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id", "text"))
-    kept = thin.withColumn("place", place).where(F.col("place") <= quota).select("doc_id", "lang", "text").collect()
+    share, held = max(1, size // max(1, counts.count())), F.octet_length("text").cast("bigint")
+    order = Window.partitionBy("lang").orderBy(F.when(held > share, held).otherwise(0), "chance", "doc_id", "text")
+    places = {"place": F.row_number().over(order), "held": F.sum(held).over(order.rowsBetween(Window.unboundedPreceding, 0))}
+    kept = thin.withColumns(places).where((F.col("place") <= quota) & (F.col("held") <= share) | (F.col("place") == 1)).select("doc_id", "lang", "text").collect()
     kept.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in kept], [r["lang"] for r in kept])
 
@@ -166,7 +174,7 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> Kernel:
 def annotate(docs: DataFrame, model: Kernel, name: str) -> DataFrame:
     """docs, all columns, with a struct of that name more: lang_pred and score of every whole text.
 
-    A null text or one without a letter is und with score 0. Each row is scored alone: repeated rows
+    Of languages with equal values the first in order is taken. A null text or one without a letter is und with score 0. Each row is scored alone: repeated rows
     get equal results, an empty table an empty one.
     """
     if name in docs.columns:

@@ -27,6 +27,8 @@ from .vocab import BYTE, NORMAL, SPACE, UNUSED, USER, pieces
 
 #: Words that a worker memoizes; beyond it new words are encoded each time.
 MEMO_WORDS = 250_000
+#: Pairs of pieces whose fit a worker remembers; beyond it others are asked anew each time.
+MEMO_PAIRS = 400_000
 #: Longer words, such as encoded files, are worked through each time, so that the memo is bounded in bytes.
 MEMO_CHARS = 40
 
@@ -152,14 +154,16 @@ class PrefixTable:
 
 
 class _Fits(dict):
-    """compatible() by both ids, asked once a pair; before 0 (a text's start, an unknown character) all fits."""
+    """compatible() by both ids, remembered for a bounded number of pairs; before 0 (a text's start, an unknown character) all fits."""
 
     def __init__(self, table: PrefixTable):
         super().__init__()
         self.table = table
 
     def __missing__(self, key: int) -> bool:
-        fits = self[key] = key < 1 << 20 or self.table.compatible(key >> 20, key & (1 << 20) - 1)
+        fits = key < 1 << 20 or self.table.compatible(key >> 20, key & (1 << 20) - 1)
+        if len(self) < MEMO_PAIRS:
+            self[key] = fits
         return fits
 
 

@@ -270,8 +270,8 @@ def read_one(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end: int = 2) -> DataFrame:
-    """Write docs to a new folder among the shared ones and read the result back."""
+    """Write docs to a new folder among the application's and read the result back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/loom/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/loom/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     write(docs, tokenizer, path, end)
     return read(spark, path, with_ids=False)
