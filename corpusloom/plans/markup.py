@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import versification
+from ..operators import joins, placement, versification
 from ..sources import usfm
+from .joins import SIDES_SQL, sides
 from .registry import query, table
 
 
@@ -71,3 +72,23 @@ def usfm_rows(spark, sf_dir):
     lines = lines.select(F.col("conv_id").cast("string").alias("text_id"), F.floor(F.col("turn") / 64).alias("block"), (F.col("turn") * 4 + F.col("n")).cast("bigint").alias("line"), "value")
     rows = usfm.text_rows(usfm.parse(usfm.sections(usfm.tokens(lines)), styles(spark)), all_text=True)
     return rows.select(F.col("text_id").cast("bigint").alias("conv_id"), "chapter", "verse", "kind", "path", "text")
+
+
+#: Turns and answers, their equal words aligned, and a mark in the middle of each turn.
+PLACE_SQL = f"""{SIDES_SQL}, b AS (SELECT text_id, ref, s.segment AS a, t.segment AS b, len(s.segment) // 2 AS mark FROM s JOIN t USING (text_id, ref)),
+i AS (SELECT text_id, ref, unnest(a) AS w, unnest(range(len(a))) AS i FROM b), j AS (SELECT text_id, ref, unnest(b) AS w, unnest(range(len(b))) AS j FROM b),
+p AS (SELECT text_id, ref, i, j, w FROM i JOIN j USING (text_id, ref, w)),
+q AS (SELECT text_id, ref, max(j) FILTER (i = mark - 1) + 1 AS l, min(j) FILTER (i = mark) AS r FROM p JOIN b USING (text_id, ref) WHERE NOT regexp_matches(w, '\\p{{L}}') GROUP BY ALL),
+c AS (SELECT text_id, ref, t, count(*) FILTER ((i < mark) <> (j < t)) AS n FROM (SELECT text_id, ref, mark, unnest(range(len(b) + 1)) AS t FROM b) JOIN p USING (text_id, ref) GROUP BY ALL),
+m AS (SELECT text_id, ref, max(t) AS t FROM (SELECT *, min(n) OVER (PARTITION BY text_id, ref) AS least FROM c) WHERE n = least GROUP BY ALL)
+SELECT text_id, ref, mark::INT AS mark, coalesce(l, r, t, len(b))::INT AS place FROM b LEFT JOIN q USING (text_id, ref) LEFT JOIN m USING (text_id, ref)"""
+
+
+@query("place_marks", PLACE_SQL)
+def place_marks(spark, sf_dir):
+    """A mark in the middle of each turn, placed in the answer by the words that both have."""
+    both = joins.align_rows(*sides(spark, sf_dir))
+    same = F.flatten(F.transform("source_segment", lambda w, i: F.transform(F.filter(F.transform("target_segment", lambda v, j: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))), lambda x: x["v"] == w), lambda x: F.struct(x["i"].alias("i"), x["j"].alias("j")))))
+    marks = F.array(F.struct(F.lit("nd").alias("name"), F.lit("style").alias("kind"), F.floor(F.size("source_segment") / 2).cast("int").alias("at")))
+    out = placement.place_marks(both.withColumns({"pairs": same, "marks": marks}), source="source_segment", target="target_segment")
+    return out.select("text_id", "ref", F.inline("marks")).select("text_id", "ref", F.col("at").alias("mark"), "place")
