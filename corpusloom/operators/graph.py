@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps, and clusters that rest on them."""
+"""Connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -34,45 +34,3 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
-
-
-def neighbours(points: DataFrame, radius: float, seed: int = 17, axes: int = 3) -> DataFrame:
-    """(a, b, dist) of all pairs of points (id, vector) within a radius, a < b.
-
-    Points are projected on a few drawn unit vectors. Projections of near points differ by no more than
-    the radius, so only points of adjoining cells of that grid are joined.
-    """
-    import numpy as np
-
-    from .statistics import euclidean
-
-    size = len(points.select("vector").first()[0]) if not points.isEmpty() else 1
-    drawn = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, min(axes, size))))[0].T
-    cell = lambda v: F.floor(F.aggregate(F.zip_with("vector", F.array(*[F.lit(float(x)) for x in v]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / radius)
-    names = [f"c{i}" for i in range(len(drawn))]
-    rows = points.select("id", "vector", *[cell(v).alias(n) for n, v in zip(names, drawn, strict=True)])
-    near = rows
-    for n in names:
-        near = near.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
-    one = rows.select(F.col("id").alias("a"), F.col("vector").alias("va"), *names)
-    two = near.select(F.col("id").alias("b"), F.col("vector").alias("vb"), *names)
-    pairs = one.join(two, names).where("a < b").withColumn("dist", euclidean(F.col("va"), F.col("vb")))
-    return pairs.where(F.col("dist") <= radius).select("a", "b", "dist")
-
-
-def dbscan(points: DataFrame, radius: float, min_points: int) -> DataFrame:
-    """(id, cluster) of points (id, vector); cluster is its least core point, null for noise.
-
-    A point counts itself among its neighbours. A border point goes to the cluster of its nearest core
-    point, of equals the least.
-    """
-    near = stash(neighbours(points, radius), "neighbours")
-    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    core = points.select("id").join(both.groupBy("a").agg((F.count("*") + 1).alias("n")), F.col("id") == F.col("a"), "left")
-    core = stash(core.where(F.coalesce("n", F.lit(1)) >= min_points).select("id"), "core")
-    inner = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
-    roots = components(inner.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    of_core = core.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    border = both.join(of_core.withColumnRenamed("id", "b"), "b").join(core.select(F.col("id").alias("a")), "a", "left_anti")
-    border = border.groupBy("a").agg(F.min_by("cluster", F.struct("dist", "b")).alias("cluster")).select(F.col("a").alias("id"), "cluster")
-    return points.select("id").join(of_core.unionByName(border), "id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Ranges of hashes that split() counts, as a power of 2.
+#: Bits of hashes that split() counts the values of at once.
 SPLIT_BITS = 12
 
 
@@ -128,28 +128,29 @@ def split(corpus: DataFrame, key: Column, percent: float | None = None, size: in
     n = min(x for x in (int(total * percent) if percent is not None else total, size if size is not None else total))
     if n <= 0:
         return rows.withColumn("is_split", F.lit(False)).drop("__draw")
-    # The threshold lies in one of many even ranges of hashes, which counts tell; only that range is sorted.
-    rows = rows.withColumn("__range", F.shiftright("__draw", 64 - SPLIT_BITS))
-    at, before = None, 0
-    for r in rows.where("__draw is not null").groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect():  # at most 2 ** SPLIT_BITS rows
-        at = r["__range"]
-        if before + r["n"] >= n:
-            break
-        before += r["n"]
-    inside = rows.where(F.col("__range") == at).groupBy("__draw").agg(F.count("*").alias("n")).orderBy("__draw")
-    last, room = None, n - before
-    for r in inside.limit(room).collect():
-        last, extra = r["__draw"], r["n"] - room
-        room -= r["n"]
-        if room <= 0:
+    # The threshold hash, from its highest bits on: each step counts the even parts of the range that it lies in, so that what
+    # passes through the driver is 2 ** SPLIT_BITS counts a step, for any number of rows.
+    low, width, before = -(1 << 63), 64, 0
+    while width > 0:
+        width = max(0, width - SPLIT_BITS)
+        inside = rows.where(F.col("__draw") >= low) if low + (1 << min(64, width + SPLIT_BITS)) >= 1 << 63 else rows.where(F.col("__draw").between(low, low + (1 << width + SPLIT_BITS) - 1))
+        counts = inside.groupBy(F.shiftright("__draw", width).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+        for r in counts:
+            if before + r["n"] >= n:
+                low, here = r["part"] << width, r["n"]
+                break
+            before += r["n"]
+        if before + here == n and width:  # all of this part are drawn: its end is the threshold
+            low += (1 << width) - 1
             break
+    last, extra = low, before + here - n
     drawn = F.coalesce(F.col("__draw") <= last, F.lit(False))
     if extra > 0:  # equal hashes: so many of them stay out
         tied = F.row_number().over(Window.partitionBy("__draw").orderBy(*[c for c in ("text_id", "ref") if c in corpus.columns]))
         some = rows.where(F.col("__draw") == last).withColumn("__rank", tied).withColumn("is_split", F.col("__rank") > extra).drop("__rank")
         rest = rows.where(~F.col("__draw").eqNullSafe(F.lit(last))).withColumn("is_split", drawn)
-        return rest.unionByName(some).drop("__draw", "__range")
-    return rows.withColumn("is_split", drawn).drop("__draw", "__range")
+        return rest.unionByName(some).drop("__draw")
+    return rows.withColumn("is_split", drawn).drop("__draw")
 
 
 def invert(parallel: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import joins, rows
@@ -36,18 +37,19 @@ _register("align_rows_all_target", "RIGHT", False, True)
 _register("align_rows_full", "FULL", True, True)
 
 
-LANGS = ("de", "en", "es", "fr")
-
-
 def four(spark, sf_dir):
-    """documents as four corpora, one of each language: the text is the source, references number its documents."""
+    """documents as four corpora by language, in the order of their names, the fifth going with the first and so on, documents without
+    one last: the text is the source, references number its documents."""
     docs = table(spark, sf_dir, "documents").select("lang", F.col("source").alias("text_id"), "doc_id", tokens().alias("segment"))
-    docs = rows.with_index(docs, ["doc_id"], ["lang", "text_id"], "ref")
-    return [docs.where(F.col("lang") == lang).select("text_id", "ref", "segment") for lang in LANGS]
+    langs = docs.select(F.col("lang").alias("l")).distinct().withColumn("corpus", F.pmod(F.row_number().over(Window.orderBy(F.asc_nulls_last("l"))) - 1, F.lit(4)))
+    docs = docs.join(langs, F.col("lang").eqNullSafe(F.col("l"))).drop("lang", "l")
+    docs = rows.with_index(docs, ["doc_id"], ["corpus", "text_id"], "ref")
+    return [docs.where(F.col("corpus") == i).select("text_id", "ref", "segment") for i in range(4)]
 
 
-FOUR_SQL = f"""WITH d AS (SELECT lang, source AS text_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS ref, len({TOKENS_SQL}) AS n FROM documents),
-p AS (SELECT text_id, ref, {", ".join(f"max(n) FILTER (lang = '{lang}') AS n{i}" for i, lang in enumerate(LANGS))} FROM d WHERE lang IN {LANGS} GROUP BY ALL)"""
+FOUR_SQL = f"""WITH l AS (SELECT lang, (row_number() OVER (ORDER BY lang NULLS LAST) - 1) % 4 AS corpus FROM (SELECT DISTINCT lang FROM documents)),
+d AS (SELECT corpus, source AS text_id, row_number() OVER (PARTITION BY corpus, source ORDER BY doc_id) - 1 AS ref, len({TOKENS_SQL}) AS n FROM documents JOIN l ON documents.lang IS NOT DISTINCT FROM l.lang),
+p AS (SELECT text_id, ref, {", ".join(f"max(n) FILTER (corpus = {i}) AS n{i}" for i in range(4))} FROM d GROUP BY ALL)"""
 
 
 @query("align_many", f"{FOUR_SQL} SELECT text_id, ref, {', '.join(f'coalesce(n{i}, 0) AS n{i}' for i in range(4))} FROM p WHERE n0 IS NOT NULL OR n2 IS NOT NULL")

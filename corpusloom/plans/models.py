@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, hmm, joins, morphology, statistics, word_alignment
+from ..operators import evaluation, hmm, joins, morphology, neighbourhoods, statistics, trees, word_alignment
 from .corpus import TOKENS_SQL, tokens
 from .joins import sides
 from .registry import query, table
@@ -256,7 +256,49 @@ def truecase_rows(spark, sf_dir):
     return morphology.truecase(docs, truecase_model(spark, sf_dir), ["doc_id"])
 
 
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+
+
 @query("dbscan_embeddings")
 def dbscan_embeddings(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
-    return graph.dbscan(points, 0.5, 4)
+    return neighbourhoods.dbscan(vectors(spark, sf_dir), 0.5, 4)
+
+
+@query(
+    "near_vectors",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+    SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.e, b.e), 6) AS dist FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_distance(a.e, b.e) <= 1.1""",
+)
+def near_vectors(spark, sf_dir):
+    """Pairs of different embeddings within a distance."""
+    near = neighbourhoods.within(neighbourhoods.distinct_points(vectors(spark, sf_dir)), 1.1)
+    return near.select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query("density_clusters")
+def density_clusters(spark, sf_dir):
+    """Clusters at two heights of one mutual reachability tree."""
+    points = vectors(spark, sf_dir)
+    cores, tree = neighbourhoods.reachability(points, 1.2, 4)
+    at = lambda height: neighbourhoods.clusters_at(points, cores, tree, height, 1.2).withColumn("height", F.lit(height))
+    return at(1.1).unionByName(at(1.2))
+
+
+def label_distances(spark, sf_dir):
+    """Labels of embeddings and the distances of their mean vectors."""
+    rows = vectors(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    each = rows.select(F.col("label").cast("bigint").alias("id"), F.posexplode("vector").alias("place", "x")).groupBy("id", "place").agg(F.avg("x").alias("x"))
+    means = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("mean"))
+    other = means.select(F.col("id").alias("b"), F.col("mean").alias("other"))
+    return means.select("id"), means.join(other, F.col("id") < F.col("b")).select(F.col("id").alias("a"), "b", statistics.euclidean(F.col("mean"), F.col("other")).alias("dist"))
+
+
+@query("label_tree")
+def label_tree(spark, sf_dir):
+    return trees.average_linkage(*label_distances(spark, sf_dir))
+
+
+@query("label_joining")
+def label_joining(spark, sf_dir):
+    return trees.neighbour_joining(*label_distances(spark, sf_dir))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import IN_RANGE, RANGE_START, SENTENCE_START
+from ..storage import stash
 
 #: Names of flags and their short forms. Fixed values.
 FLAGS = {"sentence_start": SENTENCE_START, "ss": SENTENCE_START, "in_range": IN_RANGE, "ir": IN_RANGE, "range_start": RANGE_START | IN_RANGE, "rs": RANGE_START | IN_RANGE}
@@ -83,15 +84,22 @@ def read_giza(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_parallel(parallel: DataFrame, path: str) -> None:
-    """Three folders of aligned lines in reference order: source, target and references, <range> within ranges.
+    """Three folders of aligned lines in reference order: source, target and references.
 
-    The rows are put in order once, in a table of their own, and each folder's files are written from it part
-    by part, so that lines of the three agree, also where references are equal.
+    A side that is within a range (sflags, tflags, where there are such columns) but not at its start, and so has no words of
+    its own, is <range>. The rows are put in order once, in a table of their own, and each folder's files are written
+    from it part by part, so that lines of the three agree, also where references are equal.
     """
-    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).otherwise("")
-    rows = parallel.select("text_id", "ref", text("source_segment").alias("source"), text("target_segment").alias("target"))
-    rows.orderBy("text_id", "ref", "source", "target").write.parquet(f"{path}/rows")
-    rows = parallel.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows").orderBy("text_id", "ref", "source", "target")
+
+    def text(segment: str, flags: str):
+        words = F.array_join(segment, " ")
+        if flags not in parallel.columns:
+            return F.when(F.size(segment) > 0, words).otherwise("")
+        inside = (F.col(flags).bitwiseAND(2) > 0) & (F.col(flags).bitwiseAND(4) == 0)
+        return F.when(F.size(segment) > 0, words).when(inside, "<range>").otherwise("")
+
+    rows = parallel.select("text_id", "ref", text("source_segment", "sflags").alias("source"), text("target_segment", "tflags").alias("target"))
+    rows = stash(rows.orderBy("text_id", "ref", "source", "target"), "aligned-lines").orderBy("text_id", "ref", "source", "target")
     rows.select("source").write.text(f"{path}/source")
     rows.select("target").write.text(f"{path}/target")
     rows.select(F.concat_ws(" ", F.col("text_id").cast("string"), F.col("ref").cast("string"))).write.text(f"{path}/refs")

@@ -3,7 +3,7 @@
 import math
 import random
 
-from corpusloom.operators import graph
+from corpusloom.operators import graph, neighbourhoods
 
 
 def test_components(spark):
@@ -30,7 +30,7 @@ def test_dbscan(spark):
     points = [(i, [r.gauss(c, 0.3), r.gauss(-c, 0.3), 0.0]) for i in range(120) for c in [r.choice([0, 3, 9])]] + [(500, [50.0, 50.0, 0.0])]
     df = spark.createDataFrame(points, "id bigint, vector array<double>")
     near = {i: [j for j, w in points if math.dist(v, w) <= 0.4] for i, v in points}
-    got = {x["id"]: x["cluster"] for x in graph.dbscan(df, 0.4, 4).collect()}
+    got = {x["id"]: x["cluster"] for x in neighbourhoods.dbscan(df, 0.4, 4).collect()}
     core = {i for i, n in near.items() if len(n) >= 4}
     root = {i: i for i in core}
     changed = True

@@ -56,3 +56,10 @@ def test_diagonal_with_and_without_a_prior(spark):
     for alpha in (None, 0.01):
         prob = {(x["src"], x["trg"]): x["prob"] for x in word_alignment.train_diagonal(df, alpha=alpha).collect()}
         assert prob["es", "is"] > 0.8 and prob["casa", "house"] > 0.8
+
+
+def test_long_segments_begin_evenly():
+    first, move = hmm.transitions(1500, None, 0.2)
+    assert np.allclose(first[:1500], 0.8 / 1500) and np.allclose(move[0, :1500], 0.8 / 1500) and np.allclose(move[1499, 0], 0.8 / 1500)
+    first, move = hmm.transitions(3, {1: 0.5, 0: 0.3, -1: 0.1, 2: 0.1}, 0.0)
+    assert np.allclose(move[0, :3], np.array([0.3, 0.5, 0.1]) / 0.9) and np.allclose(first[:3], np.array([0.5, 0.1, 0.0]) / 0.6)

@@ -182,3 +182,10 @@ def test_streams(spark, tmp_path):
     streams.update_table(batch, str(tmp_path / "t"), 0, ["word"])
     streams.update_table(batch, str(tmp_path / "t"), 1, ["word"])
     assert {r["word"]: r["cnt"] for r in spark.read.parquet(str(tmp_path / "t/v=1")).collect()} == {"a": 4, "b": 2}
+
+
+def test_truecased_rows_of_one_key_stay_rows(spark):
+    model = spark.createDataFrame([("the", "The", 3), ("x", "X", 2)], "lower string, token string, n int")
+    rows = spark.createDataFrame([(1, ["the", "x"]), (1, ["a", "x"]), (1, ["a", "x"]), (2, [])], "seg int, tokens array<string>")
+    got = sorted((r["seg"], r["tokens"]) for r in morphology.truecase(rows, model, ["seg"]).collect())
+    assert got == [(1, ["The", "X"]), (1, ["a", "X"]), (1, ["a", "X"]), (2, [])]
