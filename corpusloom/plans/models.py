@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, hmm, joins, morphology, neighbourhoods, statistics, trees, word_alignment
+from ..operators import evaluation, hmm, joins, lattices, morphology, neighbourhoods, statistics, trees, word_alignment
 from .corpus import TOKENS_SQL, tokens
 from .joins import sides
 from .registry import query, table
@@ -302,3 +303,30 @@ def label_tree(spark, sf_dir):
 @query("label_joining")
 def label_joining(spark, sf_dir):
     return trees.neighbour_joining(*label_distances(spark, sf_dir))
+
+
+def order_graphs(spark, sf_dir):
+    """A graph for each order: its line items lead from their number to the next; of several with one number each is a way."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), (F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).alias("prev"), F.log("l_quantity").alias("score"), F.array("l_returnflag").alias("words"))
+    return lines.withColumn("next", F.col("prev") + 1)
+
+
+@query(
+    "word_confidences",
+    """WITH e AS (SELECT l_orderkey AS graph, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place, l_returnflag AS word, l_quantity AS w FROM lineitem),
+    p AS (SELECT graph, place, word, sum(w) AS w FROM e GROUP BY ALL), t AS (SELECT graph, place, sum(w) AS total FROM e GROUP BY ALL)
+    SELECT graph, word, floor(max(w / total) * 1e6 + 0.3)::BIGINT AS millionths FROM p JOIN t USING (graph, place) GROUP BY ALL""",
+)
+def word_confidences(spark, sf_dir):
+    """Confidences in millionths, rounded where no share of whole numbers this small lies half-way."""
+    found = lattices.word_confidences(order_graphs(spark, sf_dir))
+    return found.select("graph", "word", F.floor(F.col("confidence") * 1e6 + 0.3).cast("bigint").alias("millionths"))
+
+
+@query(
+    "best_paths",
+    """WITH e AS (SELECT l_orderkey AS graph, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS place, max(l_quantity) AS w FROM (SELECT *, l_linenumber FROM lineitem) GROUP BY l_orderkey, l_linenumber)
+    SELECT graph, count(*) AS n_words, round(sum(ln(w)), 6) AS score FROM e GROUP BY graph""",
+)
+def best_paths(spark, sf_dir):
+    return lattices.best_paths(order_graphs(spark, sf_dir)).select("graph", F.size("words").cast("bigint").alias("n_words"), F.round("score", 6).alias("score"))

@@ -90,6 +90,13 @@ def zwsp_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(fn.zwsp_words(text)).cast("bigint").alias("n"))
 
 
+@query("zwsp_word_tokens")
+def zwsp_word_tokens(spark, sf_dir):
+    """Tokens of texts whose single spaces within lines have become zero-width ones; other white space is tokens."""
+    text = F.regexp_replace("text", r"(?<=\S) (?=\S)", "\u200b")
+    return table(spark, sf_dir, "documents").select("doc_id", fn.zwsp_tokens(text).alias("tokens"))
+
+
 @query("zwsp_detokenize")
 def zwsp_detokenize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", segments.zwsp_detokenize(fn.latin_tokens(F.col("text"))).alias("text"))

@@ -3,7 +3,7 @@
 Files are read by lines, in the blocks that Spark deals them in, so a book isn't one task's string. Chapters close all that is
 open in them; a chapter is therefore read without those before it, and chapters of one book are read side by side. Which
 chapter a line is in is told by counts of chapter markers, within each block and summed up over blocks. In a chapter
-markers pass one by one through a small machine that holds what is open; it never holds a chapter's text.
+markers pass one by one through an object that holds what is open (Openings); it never holds a chapter's text.
 
 What a marker is (paragraph, character style, note) and whether its paragraph is verse text comes from a table of
 styles, read from a file of `\\Marker` entries. A marker that isn't there is a paragraph at the beginning of a line, and a character style elsewhere.
@@ -89,7 +89,7 @@ def sections(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("section", (F.col("before") + F.col("within")).cast("int")).drop("starts", "within", "before")
 
 
-class Machine:
+class Openings:
     """What is open at a place of a chapter. One call of step for each token; what it gives are rows of the output."""
 
     def __init__(self, styles: dict[str, tuple[str, str]], book: str | None):
@@ -279,21 +279,21 @@ def parse(rows: DataFrame, styles: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(out)
-        of, at, machine, blank = None, 0, None, True
+        of, at, state, blank = None, 0, None, True
         for batch in batches:
             cols: dict[str, list] = {c: [] for c in names}
             for text_id, section, _, _, pos, book, marker, nested, closes, text, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if of != (text_id, section):
-                    of, at, machine = (text_id, section), 0, Machine(known, book)
+                    of, at, state = (text_id, section), 0, Openings(known, book)
                 gap = "" if pos else "\n"
                 first, blank = pos == 0 or pos == 1 and blank, not raw.strip()
-                before = machine.chapter, machine.verse, machine.verse_no
-                made = list(machine.step(marker, nested, closes, text, first))
-                now = machine.chapter, machine.verse, machine.verse_no
-                raw = made[-1][2] if machine.own else raw
+                before = state.chapter, state.verse, state.verse_no
+                made = list(state.step(marker, nested, closes, text, first))
+                now = state.chapter, state.verse, state.verse_no
+                raw = made[-1][2] if state.own else raw
                 for k, (kind, path, said) in enumerate(made):
                     last = k == len(made) - 1  # the others are of blocks that this marker ends
-                    row = (text_id, section, at, machine.book, *(now if last else before), kind, path, list(machine.chars) if last else [], machine.unmatched and last, gap + said, gap + raw if last else "")
+                    row = (text_id, section, at, state.book, *(now if last else before), kind, path, list(state.chars) if last else [], state.unmatched and last, gap + said, gap + raw if last else "")
                     for c, v in zip(names, row, strict=True):
                         cols[c].append(v)
                     at += 1
