@@ -78,6 +78,9 @@ def train_ibm1(parallel: DataFrame, iterations: int = 4) -> DataFrame:
     of a target word lie in one block, or some, with all of each segment's source words; they are put there once. A round brings each
     block its target word's part of the table; what is shuffled is the table, not the pairs, and its partial counts.
     """
+    if parallel.schema["seg"].dataType.typeName() not in ("integer", "long"):
+        numbers = bounded(_numbered_words(parallel, "seg", "ibm1-segments"))
+        parallel = parallel.join(numbers, "seg").drop("seg").withColumnRenamed("id", "seg")
     count = lambda words, name: parallel.select("seg", F.explode(words).alias(name)).groupBy("seg", name).agg(F.count("*").alias(f"n_{name}"))
     sources, targets = stash(count(F.concat(F.array(F.lit(NULL)), "source_segment"), "src"), "ibm1-sources"), stash(count(F.col("target_segment"), "trg"), "ibm1-targets")
     names = {c: _numbered_words(df, c, f"ibm1-{c}") for df, c in ((sources, "src"), (targets, "trg"))}

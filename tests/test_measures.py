@@ -111,6 +111,8 @@ def test_ibm1(spark):
     table = word_alignment.train_ibm1(df, 4)
     got, want = {(r["src"], r["trg"]): r["prob"] for r in table.collect()}, brute_ibm1(pairs, 4)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    named = word_alignment.train_ibm1(df.withColumn("seg", F.struct(F.lit("t").alias("text"), "seg")), 4)
+    assert {(r["src"], r["trg"]): pytest.approx(r["prob"]) for r in named.collect()} == got
     best = {(r["j"], r["i"]) for r in word_alignment.best_pairs(df, table).where("seg = 2").collect()}
     assert (2, 2) in best
     lexicon = word_alignment.lexicon(table, 0.1)
