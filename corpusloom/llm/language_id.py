@@ -117,14 +117,12 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
         turn[y == c] = np.arange((y == c).sum())
     chosen = np.argsort(turn, kind="stable")[: max(landmarks, len(names))]
     ids = np.unique(np.concatenate([sets[i] for i in chosen]))
-    place = np.full(1 << BITS, -1, np.int64)
-    place[ids] = np.arange(len(ids))
 
     def matrix(rows) -> np.ndarray:
         out = np.zeros((len(rows), len(ids)), np.float32)
         for i, s in enumerate(rows):
-            got = place[s]
-            out[i, got[got >= 0]] = 1 / np.sqrt(max(1, len(s)))
+            place = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
+            out[i, place[ids[place] == s]] = 1 / np.sqrt(max(1, len(s)))
         return out
 
     base = matrix([sets[i] for i in chosen])

@@ -215,9 +215,9 @@ def late_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("outside"))
     nodes = stash(nodes.join(sets.select("node", "n_shingles", "members"), "node"), "open-sets")
     bucket = F.pmod(F.col("m"), F.lit(COUNTERS)).cast("int")
-    counts = nodes.select(F.explode("members").alias("m")).groupBy(bucket.alias("at")).agg(F.count("*").alias("n")).collect()  # at most COUNTERS rows
+    counts = nodes.select(F.explode("members").alias("m")).groupBy(bucket.alias("at")).agg(F.count("*").alias("n")).toArrow()  # at most COUNTERS rows, two numbers each
     frequency = np.zeros(COUNTERS, np.int64)
-    frequency[[r["at"] for r in counts]] = [r["n"] for r in counts]
+    frequency[counts["at"].to_numpy()] = counts["n"].to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batch):
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     def likely(pairs: DataFrame) -> DataFrame:
         best = estimate(pairs, sets, least).groupBy("b").agg(F.max_by("a", F.struct("likeness", "a")).alias("a"))
-        return verify(best, sets, percent)
+        return verify(stash(best, "likeliest"), sets, percent)  # two plans of two joins: a plan costs the driver its size at each step
 
     roots = tops(likely(pairs))
     still = unconnected(rows, roots, 0)

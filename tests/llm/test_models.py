@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,6 +62,16 @@ def test_kernel_and_regression_by_hand():
     assert np.allclose(model.scores(new), expected, atol=2e-3)
 
 
+def test_fitting_takes_memory_by_the_sample():
+    """Not by the range of the hash."""
+    tracemalloc.start()
+    model = language_id.fit(["the cat and the dog", "der Hund und die Katze"] * 20, ["en", "de"] * 20)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.predict(["the dog", "die Katze"])[0] == ["en", "de"]
+    assert most < 60e6, most
+
+
 def test_language_of_texts_without_letters_and_of_rare_languages(spark):
     r = random.Random(5)
     rows = [(i, words(r, k, 30), k, 1.0) for i, k in enumerate(list(SOUNDS) * 30)]

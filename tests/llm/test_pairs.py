@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 from corpusloom.llm import decontamination, fingerprints, near_dedup
@@ -119,6 +120,18 @@ def test_near_misses_never_meet(spark):
     assert near_dedup.late_pairs(rows, table, 80).count() == 0
 
 
+def test_counters_are_small_on_the_driver(spark):
+    """Long sets fill all counters; the driver gets two arrays of numbers, not an object for each counter."""
+    members = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.xxhash64("node", i))
+    sets = spark.range(1, 9).select(F.col("id").alias("node")).select("node", F.lit(60_000).cast("bigint").alias("n_shingles"), members.alias("members"))
+    rows = sets.select(F.lit(1).cast("bigint").alias("key"), "node", F.col("node").alias("root"), F.lit(1).cast("bigint").alias("top"))
+    tracemalloc.start()
+    assert near_dedup.late_pairs(rows, sets, 80).isEmpty()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6, most
+
+
 def test_near_duplicates_of_very_long_texts(spark):
     r = random.Random(14)
     long = " ".join(f"w{r.randrange(10**6)}" for _ in range(60_000))

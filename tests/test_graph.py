@@ -25,6 +25,18 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_take_few_jobs(spark):
+    """What a round plans and runs stays with the driver; edges that one round turns into stars need no second one."""
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 8), (9, 7)], "u bigint, v bigint")
+    context.setJobGroup("components", "")
+    got = graph.components(edges)
+    jobs = len(context.statusTracker().getJobIdsForGroup("components"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
+    assert jobs <= 12, jobs
+
+
 def test_dbscan(spark):
     r = random.Random(4)
     points = [(i, [r.gauss(c, 0.3), r.gauss(-c, 0.3), 0.0]) for i in range(120) for c in [r.choice([0, 3, 9])]] + [(500, [50.0, 50.0, 0.0])]
