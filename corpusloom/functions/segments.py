@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, zip_longest
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +106,8 @@ def _latin(abbreviations: tuple[str, ...]):
     return regex.compile(latin_pattern(abbreviations))
 
 
-def _words(line: str, abbreviations: tuple[str, ...]) -> list[tuple[int, int]]:
-    return [m.span() for m in _latin(abbreviations).finditer(line)]
+def _words(line: str, abbreviations: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    return (m.span() for m in _latin(abbreviations).finditer(line))
 
 
 #: Sentences over a string with a letter for each token: T sentence terminals, C closing marks, l a lower-case word, w any other.
@@ -121,22 +125,29 @@ def _letter(token: str) -> str:
 
 def _sentences(line: str, abbreviations: tuple[str, ...]) -> list[tuple[int, int]]:
     """Where the sentences of a line begin and end; what follows the last full one goes up to the end of the line."""
-    spans = _words(line, abbreviations)
+    spans = list(_words(line, abbreviations))
     found = [m.span() for m in SENTENCE.finditer("".join(_letter(line[a:b]) for a, b in spans))]
     rest = found[-1][1] if found else 0
     return [(spans[i][0], spans[j - 1][1]) for i, j in found] + [(a, len(line)) for a, _ in spans[rest : rest + 1]]
 
 
 def _ranges(find, by_line: bool):
-    @F.pandas_udf(_RANGES)
-    def apply(texts: pd.Series) -> pd.Series:
-        def of(text):
-            if text is None:
-                return None
-            parts = [(m.start(), m[0]) for m in re.finditer(r"[^\r\n]+", text)] if by_line else [(0, text)]
-            return [{"start": at + a, "end": at + b} for at, part in parts for a, b in find(part)]
-
-        return texts.map(of)
+    """Ranges as Arrow arrays, put together from plain integers: a batch may have millions of them."""
+
+    @F.arrow_udf(_RANGES)
+    def apply(texts: pa.Array) -> pa.Array:
+        ends, ranges = array("q", [0]), array("i")
+        for text in texts:
+            text = text.as_py() or ""
+            parts = ((m.start(), m[0]) for m in re.finditer(r"[^\r\n]+", text)) if by_line else [(0, text)]
+            for at, part in parts:
+                for a, b in find(part):
+                    ranges.append(at + a)
+                    ranges.append(at + b)
+            ends.append(len(ranges) // 2)
+        both = np.frombuffer(ranges, np.int32) if ranges else np.zeros(0, np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(both[0::2]), pa.array(both[1::2])], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int64).astype(np.int32)), pairs, mask=texts.is_null())
 
     return apply
 

@@ -219,3 +219,17 @@ def test_parallel_files_agree_on_equal_references(spark, tmp_path):
     text_files.write_parallel(df, str(tmp_path / "o"))
     lines = lambda name: [x for f in sorted((tmp_path / "o" / name).glob("part-*")) for x in f.read_text().splitlines()]
     assert len(lines("source")) == 50 and all(a[1:] == b[1:] for a, b in zip(lines("source"), lines("target"), strict=True))
+
+
+def test_ranges_of_a_large_batch_are_no_python_objects():
+    """A batch of 10,000 long texts has millions of ranges: they take the space of their numbers."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["ab, " * 2000, None, ""] * 60)
+    tracemalloc.start()
+    got = segments.latin_ranges.__globals__["_ranges"](lambda t: segments._words(t, ()), False).func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) if x.is_valid else None for x in got[:3]] == [4000, None, 0] and peak < 60 * 4000 * 40
