@@ -1,10 +1,10 @@
 """Pairs of near vectors by pivots, and what rests on them: nearest neighbours, reachability, clusters at all densities.
 
-Some vectors, drawn by a hash, are pivots. A vector belongs to the cell of its nearest pivot, and to a ring of the cell by its distance from
-the pivot. By the triangle inequality a vector within r of q is in the cell of pivot p only if q is at most 2 r further from p than from its own
-pivot, and in a ring that is within r of q's distance from p. So q is sent to few cells, and there meets three rings of width r. Equal
-vectors are one vector with a count, so copies make no pairs. Rings are cut into blocks of a fixed number of vectors, and blocks meet blocks: distances
-are matrix products within a task, and only pairs within r leave it.
+Some vectors, drawn by a hash, are pivots. Vectors are sorted by their nearest pivot and their distance from it and cut into short runs; a run
+holds, for each pivot, the least and greatest distance of its vectors. By the triangle inequality two runs have vectors within r of each
+other only if these ranges come within r for every pivot. Runs lie in packs, and packs meet packs without a shuffle, so a vector is stored once,
+however little the pivots part. Equal vectors are one vector with a count, so copies make no pairs. Distances are matrix products
+within a task, and only pairs within r leave it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,11 @@ from .graph import components
 
 #: Pivots at most; there are about as many as the root of the number of vectors.
 PIVOTS = 1024
-#: Vectors of a block.
-BLOCK = 256
+#: Vectors of a run at most, and of a pack.
+BLOCK = 64
+PACK = 2048
+#: Pairs of vectors that are looked at one by one, or given back, at a time.
+CHUNK = 1 << 16
 
 
 def distinct_points(points: DataFrame) -> DataFrame:
@@ -32,49 +36,109 @@ def distinct_points(points: DataFrame) -> DataFrame:
     return points.where("vector is not null").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "n")
 
 
-def _pivots(points: DataFrame, most: int) -> np.ndarray:
-    n = points.count()
+def _pivots(points: DataFrame, n: int, most: int) -> np.ndarray:
     wanted = max(1, min(most, int(n**0.5)))
     share = F.pmod(F.xxhash64("vector", F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2.0 * wanted / max(1, n))) + 1
     rows = points.where(share).select("vector").limit(2 * wanted).collect()
     return np.array([r["vector"] for r in rows or points.select("vector").limit(1).collect()], np.float64)
 
 
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances between rows of a and of b, by their differences, so that near vectors' are exact to the last digits."""
-    return np.sqrt(np.maximum(0.0, np.stack([np.square(a - x).sum(1) for x in b], 1))) if len(b) else np.zeros((len(a), 0))
+def _about(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances between rows of a and of b, as matrix products give them: near ones aren't exact."""
+    return np.sqrt(np.maximum(0.0, np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None] - 2 * a @ b.T))
+
 
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    """By how much a distance of _about() may be wrong at most."""
+    scale = max(float(np.abs(x).max(initial=0.0)) for x in (a, b))
+    return 1e-6 * scale * max(1, a.shape[1])
 
-def _packed(rows: DataFrame, keys: list[str], block: int) -> DataFrame:
-    """(keys, ids, vectors): the rows of each key in blocks of about so many; a hot key's are many blocks."""
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = rows.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    return dealt.groupBy(*keys, "block").agg(F.collect_list(F.struct("id", "vector")).alias("x")).select(*keys, F.transform("x", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("x", lambda x: x["vector"])).alias("vectors"))
 
+def packs(points: DataFrame, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """(pack, ids, dim, vectors, runs, low, high): vectors (id, vector) in packs of about PACK, vectors being numbers of 4 bytes if these hold them.
 
-def block_pairs(points: DataFrame, radius: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """(a_ids, a_vectors, b_ids, b_vectors): the pairs of blocks that hold all pairs of vectors (id, vector) within a radius."""
-    base = points.select("id", "vector")
-    spark, centres = points.sparkSession, _pivots(base, pivots)
+    runs are the sizes of a pack's runs; low and high their distances from each pivot, rounded outwards.
+    """
+    base, n = points.select("id", "vector"), points.count()
+    spark, centres = points.sparkSession, _pivots(base, n, pivots)
     shared = spark.sparkContext.broadcast(centres)
     kind = points.schema["id"].dataType.simpleString()
+    size = max(block, min(PACK, -(-n // 16)))
+    matrix = lambda batch, c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            d = _far(x, p)
-            own = d.argmin(1)
-            near = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * (1 + 1e-9) + 1e-12
-            rows, cells = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(np.floor(d[rows, cells] / radius).astype(np.int64)), pa.array(cells == own[rows]), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["cell", "ring", "own", "id", "vector"])
-
-    dealt = stash(base.mapInArrow(run, f"cell bigint, ring bigint, own boolean, id {kind}, vector array<double>"), "cells")
-    members = stash(_packed(dealt.where("own").drop("own"), ["cell", "ring"], block), "members")
-    guests = _packed(dealt.drop("own"), ["cell", "ring"], block).select("cell", F.explode(F.array(F.col("ring") - 1, "ring", F.col("ring") + 1)).alias("ring"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a_vectors"))
-    return guests.join(members.select("cell", "ring", F.col("ids").alias("b_ids"), F.col("vectors").alias("b_vectors")), ["cell", "ring"]).drop("cell", "ring")
+            for at in range(0, batch.num_rows, PACK):
+                part = batch.slice(at, PACK)
+                d = _about(matrix(part, 1), shared.value)
+                own = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(d[np.arange(len(d)), own]), part.column(0), part.column(1)], names=["cell", "far", "id", "vector"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x, cells = matrix(part, 3), part.column(0).to_numpy()
+                fresh = np.concatenate([[True], np.diff(cells) != 0])
+                begins = np.flatnonzero(fresh)
+                begins = np.flatnonzero((np.arange(len(x)) - begins[np.cumsum(fresh) - 1]) % block == 0)
+                d, slack = _about(x, shared.value), _slack(x, shared.value)
+                low, high = (np.nextafter((f.reduceat(d, begins) + s).astype(np.float32), np.float32(to)) for f, s, to in ((np.minimum, -slack, -np.inf), (np.maximum, slack, np.inf)))
+                short = x.astype(np.float32)
+                held = short if (short == x).all() else x
+                runs = np.diff(np.append(begins, len(x))).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"pack": pa.array([made]), "ids": pa.ListArray.from_arrays([0, len(x)], part.column(2)), "dim": pa.array([x.shape[1]], pa.int32()), "vectors": pa.array([held.tobytes()]), "runs": pa.ListArray.from_arrays([0, len(runs)], pa.array(runs)), "low": pa.array([low.tobytes()]), "high": pa.array([high.tobytes()])})
+                made += 1
+
+    files = max(min(24, -(-n // size)), n * centres.shape[-1] // (2 << 20), 1)
+    dealt = base.mapInArrow(nearest, f"cell bigint, far double, id {kind}, vector array<double>").repartitionByRange(files, "cell", "far", F.xxhash64("id")).sortWithinPartitions("cell", "far")
+    return stash(dealt.mapInArrow(pack, f"pack bigint, ids array<{kind}>, dim int, vectors binary, runs array<int>, low binary, high binary"), "packs")
+
+
+def _met(made: DataFrame) -> DataFrame:
+    """Each pack with itself and each later one."""
+    a, b = (made.select(*[F.col(c).alias(f"{side}_{c}") for c in made.columns]) for side in "ab")
+    return a.join(b, F.col("a_pack") <= F.col("b_pack"))
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], radius: float):
+    """For each row of _met(): whether a pack meets itself, ids and vectors of both, and where their rows may come within the radius, as pairs of indices."""
+    for batch in batches:
+        names = batch.schema.names
+        for row in range(batch.num_rows):
+            of = {name: batch.column(k)[row] for k, name in enumerate(names)}
+            ids, runs = ([of[f"{s}_{c}"].values for s in "ab"] for c in ("ids", "runs"))
+            low, high = ([np.frombuffer(of[f"{s}_{c}"].as_buffer(), np.float32).reshape(len(n), -1) for s, n in zip("ab", runs, strict=True)] for c in ("low", "high"))
+            x = []
+            for s in "ab":
+                raw, dim = of[f"{s}_vectors"].as_buffer(), of[f"{s}_dim"].as_py()
+                n = len(of[f"{s}_ids"].values)
+                x.append(np.frombuffer(raw, np.float32 if raw.size == 4 * n * dim else np.float64).reshape(n, dim))
+            yield of["a_pack"].as_py() == of["b_pack"].as_py(), ids, x, _regions([n.to_numpy() for n in runs], low, high, radius)
+
+
+def _regions(runs: list[np.ndarray], low: list[np.ndarray], high: list[np.ndarray], radius: float) -> list[tuple[np.ndarray | slice, np.ndarray | slice]]:
+    every, r = slice(None), np.float32(radius * (1 + 1e-5))
+    if (np.maximum(low[0].min(0) - high[1].max(0), low[1].min(0) - high[0].max(0)) > r).any():
+        return []
+    near = np.stack([~(np.maximum(low[0][k] - high[1], low[1] - high[0][k]) > r).any(1) for k in range(len(low[0]))])
+    if (near * runs[0][:, None] * runs[1][None]).sum() > 0.3 * runs[0].sum() * runs[1].sum():
+        return [(every, every)]
+    ends = np.cumsum(runs[0])
+    return [(np.arange(end - n, end), np.flatnonzero(np.repeat(of, runs[1]))) for end, n, of in zip(ends, runs[0], near, strict=True) if of.any()]
+
+
+def _close(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of all pairs of rows within a radius, and maybe some others."""
+    scale = float(np.square(a).sum(1, dtype=float).max() + np.square(b).sum(1, dtype=float).max())
+    slack = 4e-7 * (a.shape[1] + 8) * scale
+    if a.dtype != np.float32 or b.dtype != np.float32 or not slack < 0.01 * radius * radius:
+        a, b, slack = a.astype(float), b.astype(float), 1e-9 * (1 + scale)
+    half = a @ b.T
+    half -= (np.square(a).sum(1) / 2)[:, None]
+    half -= (np.square(b).sum(1) / 2)[None]
+    return np.nonzero(half >= -(radius * radius + slack) / 2)
 
 
 def within(points: DataFrame, radius: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
@@ -84,24 +148,31 @@ def within(points: DataFrame, radius: float, pivots: int = PIVOTS, block: int =
     kind = points.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a_ids, a_vectors, b_ids, b_vectors in zip(*batch.columns, strict=True):
-                a, b = (np.asarray(v.values).reshape(len(i), -1) for v, i in ((a_vectors, a_ids), (b_vectors, b_ids)))
-                rough = np.square(a).sum(1)[:, None] + np.square(b).sum(1)[None] - 2 * a @ b.T
-                scale = np.square(a).sum(1).max() + np.square(b).sum(1).max()
-                i, j = np.nonzero(rough <= radius * radius + 1e-9 * (1 + scale))
-                d = np.sqrt(np.square(a[i] - b[j]).sum(1))
-                left, right = a_ids.values.take(pa.array(i)), b_ids.values.take(pa.array(j))
-                keep = pc.and_(pc.less(left, right), pa.array(d <= radius))
-                yield pa.RecordBatch.from_arrays([left.filter(keep), right.filter(keep), pa.array(d).filter(keep)], names=["a", "b", "dist"])
+        for same, (a_ids, b_ids), (a, b), regions in _candidates(batches, radius):
+            for rows, columns in regions:
+                found = _close(a[rows], b[columns], radius)
+                for at in range(0, len(found[0]), CHUNK):
+                    i, j = (np.arange(len(x))[of][f[at : at + CHUNK]] for x, of, f in ((a, rows, found[0]), (b, columns, found[1])))
+                    d = np.sqrt(np.square(a[i].astype(float) - b[j].astype(float)).sum(1))
+                    i, j, d = (v[d <= radius] for v in (i, j, d))
+                    left, right = a_ids.take(pa.array(i)), b_ids.take(pa.array(j))
+                    first = pc.less(left, right)
+                    keep = first if same else pc.not_equal(left, right)
+                    yield pa.RecordBatch.from_arrays([v.filter(keep) for v in (pc.if_else(first, left, right), pc.if_else(first, right, left), pa.array(d))], names=["a", "b", "dist"])
 
-    return block_pairs(points, radius, pivots, block).mapInArrow(run, f"a {kind}, b {kind}, dist double")
+    return _met(packs(points, pivots, block)).mapInArrow(run, f"a {kind}, b {kind}, dist double")
 
 
 def compared(points: DataFrame, radius: float, pivots: int = PIVOTS, block: int = BLOCK) -> tuple[int, int]:
     """How many pairs within() computes, each way, and how many there are."""
     n = points.count()
-    return block_pairs(points, radius, pivots, block).agg(F.sum(F.size("a_ids").cast("bigint") * F.size("b_ids"))).first()[0] or 0, n * (n - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same, ids, _, regions in _candidates(batches, radius):
+            pairs = sum(len(np.arange(len(ids[0]))[rows]) * len(np.arange(len(ids[1]))[columns]) for rows, columns in regions)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([pairs if same else 2 * pairs], pa.int64())})
+
+    return _met(packs(points, pivots, block)).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0, n * (n - 1)
 
 
 def core_distances(distinct: DataFrame, near: DataFrame, min_points: int) -> DataFrame:
@@ -138,14 +209,16 @@ def spanning_tree(edges: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def reachability(points: DataFrame, radius: float, min_points: int) -> tuple[DataFrame, DataFrame]:
+def reachability(points: DataFrame, radius: float, min_points: int, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, n, core) and the edges (u, v, weight) of the mutual reachability tree of points (id, vector), pairs within a radius.
 
+    near are the pairs of distinct_points within the radius, at rest, if they are at hand.
+
     A pair of core vectors weighs as much as the larger of its distance and their core distances. At any height up to the radius,
     the tree's edges up to that height join what a density clusterer of that radius joins.
     """
     distinct = stash(distinct_points(points), "distinct-points")
-    near = stash(within(distinct, radius), "near")
+    near = stash(within(distinct, radius), "near") if near is None else near
     cores = stash(core_distances(distinct, near, min_points), "cores")
     of = lambda c: cores.where("core is not null").select(F.col("id").alias(c), F.col("core").alias(f"core_{c}"))
     edges = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), F.greatest("dist", "core_a", "core_b").alias("weight"))
@@ -160,17 +233,19 @@ def _of_points(points: DataFrame, distinct: DataFrame, named: DataFrame) -> Data
     return join_counted(rows.where("__v is not null"), of_vector, ["__v"]).select("id", "cluster").unionByName(none)
 
 
-def clusters_at(points: DataFrame, cores: DataFrame, tree: DataFrame, height: float, radius: float) -> DataFrame:
+def clusters_at(points: DataFrame, cores: DataFrame, tree: DataFrame, height: float, radius: float, near: DataFrame | None = None) -> DataFrame:
     """(id, cluster) of all points at one height of reachability(): the least id of its core vectors; null is noise.
 
+    near are the pairs within the radius, if they are at hand.
+
     A vector that is no core goes with the nearest core vector within the height, of equals the least. Null vectors are noise.
     """
     distinct = stash(distinct_points(points), "distinct-points")
     inner = cores.where(F.col("core") <= height).select("id")
     roots = components(tree.where(F.col("weight") <= height).select("u", "v"))
     named = stash(inner.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster")), "named")
-    near = within(distinct, min(height, radius)) if height > 0 else None
-    if near is not None:
+    if height > 0:
+        near = within(distinct, min(height, radius)) if near is None else near.where(F.col("dist") <= min(height, radius))
         both = near.select("a", "b", "dist").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
         border = both.join(named.withColumnRenamed("id", "b"), "b").join(named.select(F.col("id").alias("a")), "a", "left_anti")
         border = border.groupBy("a").agg(F.min_by("cluster", F.struct("dist", "b")).alias("cluster")).select(F.col("a").alias("id"), "cluster")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, hmm, joins, lattices, morphology, neighbourhoods, statistics, trees, word_alignment
+from ..storage import stash
 from .corpus import TOKENS_SQL, tokens
 from .joins import sides
 from .registry import query, table
@@ -281,8 +282,9 @@ def near_vectors(spark, sf_dir):
 def density_clusters(spark, sf_dir):
     """Clusters at two heights of one mutual reachability tree."""
     points = vectors(spark, sf_dir)
-    cores, tree = neighbourhoods.reachability(points, 1.2, 4)
-    at = lambda height: neighbourhoods.clusters_at(points, cores, tree, height, 1.2).withColumn("height", F.lit(height))
+    near = stash(neighbourhoods.within(neighbourhoods.distinct_points(points), 1.2), "near")
+    cores, tree = neighbourhoods.reachability(points, 1.2, 4, near)
+    at = lambda height: neighbourhoods.clusters_at(points, cores, tree, height, 1.2, near).withColumn("height", F.lit(height))
     return at(1.1).unionByName(at(1.2))
 
 

@@ -93,3 +93,18 @@ def test_edges(spark):
     assert got == [(0, 1), (1, 1), (2, 1), (4, None), (5, None)]
     with pytest.raises(ValueError):
         nb.within(few, 0.0)
+
+
+def test_a_vector_is_stored_once(spark):
+    """Vectors without near neighbours, which no pivot parts: before, each was copied to every pivot's cell."""
+    x = np.random.default_rng(4).normal(size=(900, 16)).astype(np.float32)
+    made = nb.packs(nb.distinct_points(frame(spark, x)))
+    sizes = made.selectExpr("size(ids) AS n", "length(vectors) AS bytes").collect()
+    assert sum(r["n"] for r in sizes) == 900 and sum(r["bytes"] for r in sizes) == x.nbytes and len(sizes) > 1
+    d, radius = distances(x), 4.0
+    want = {(i, j) for i, j in itertools.combinations(range(900), 2) if d[i, j] <= radius}
+    assert {(r["a"], r["b"]) for r in nb.within(nb.distinct_points(frame(spark, x)), radius).collect()} == want
+    wide = x[:200].astype(np.float64) + 1e5  # numbers that 4 bytes don't hold, far from zero
+    got = nb.within(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "id bigint, vector array<double>"), radius).collect()
+    d = distances(wide)
+    assert {(r["a"], r["b"]) for r in got} == {(i, j) for i, j in itertools.combinations(range(200), 2) if d[i, j] <= radius}
