@@ -44,7 +44,7 @@ def on_diagonal(n, j, m):
     return [0.08, *[0.92 * x / sum(d) for x in d]]
 
 
-@pytest.mark.parametrize("slice_pairs, pairs", [(16_000_000, 2_000_000), (300, 40), (300, 7)])
+@pytest.mark.parametrize("slice_pairs, pairs", [(16_000_000, 1_000_000), (300, 40), (300, 7)])
 def test_tables_equal_plain_loops(spark, monkeypatch, slice_pairs, pairs):
     """With small limits there are many slices, many groups, and words that a group doesn't hold at once."""
     rows, df = corpus(spark)
